@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 NO_VALUE_WORDS = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "undefined", "unknown", "undated", "not available", "no value")
 
 #: White space and characters without a glyph that may surround a value.
-BLANKS = r"[\s ­͏؜ᅟᅠ ᠎ -‏ -  -⁯　﻿]"
+BLANKS = r"[\s\u00a0\u00ad\u034f\u061c\u115f\u1160\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 
 
 def table(spark: SparkSession, root: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -46,3 +48,23 @@ def durable(df: DataFrame) -> DataFrame:
 
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of every executor, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_broadsheet_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="broadsheet-code-")) / "broadsheet.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._broadsheet_shipped = True
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
