@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import formatting, sitelines
+from broadsheet.llm import formatting, residue, sitelines
 
 
 def queries():
     return {
         "p2_found": formatting.found,
         "p2_records": formatting.records,
+        "p3_found": residue.found,
         "p7_found": sitelines.found,
         "p7_texts": sitelines.texts,
     }
