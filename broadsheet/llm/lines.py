@@ -28,15 +28,17 @@ _TAIL = r"[\s.!?…»|]*"
 _PAGE = re.compile("^(?:" + "|".join(PAGE_KINDS.values()) + ")" + _TAIL + "$", re.I)
 _ARTICLE = re.compile("^(?:" + "|".join(ARTICLE_KINDS.values()) + ")" + _TAIL + "$", re.I)
 _FRAME = re.compile(r"^[|\s*_=~]+|[|\s*_=~]+$")
-_SPACE = re.compile(r"\s+")
 _LETTERS = re.compile(r"[\W_]+")
 
 
 def squeeze(line: str) -> str:
     """Line with single spaces, plain apostrophes and no frame of bars or rules."""
-    line = _SPACE.sub(" ", line.replace("’", "'").replace("\u00ad", "").replace("\u200b", ""))
-    bare = _FRAME.sub("", line) if line[:1] in "|*_=~ " and not line.startswith("* ") else line.strip()
-    return bare.rstrip(" |")
+    if not line.isascii():
+        line = line.replace("’", "'").replace("\u00ad", "").replace("\u200b", "")
+    line = " ".join(line.split())
+    if line[:1] in ("|", "*", "_", "=", "~") and not line.startswith("* "):
+        line = _FRAME.sub("", line)
+    return line.rstrip(" |")
 
 
 def letters(text: str | None) -> str:
