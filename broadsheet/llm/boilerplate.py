@@ -237,12 +237,12 @@ def weak_labels(lines: list[str], title: str | None) -> np.ndarray:
     return np.array([-1 if k is None else k for k in known], np.float32)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Labeller fitted on the ``sample`` stories with the smallest hash of their id (a fixed bound)."""
+def fit(rows: DataFrame, index: residue.Index, sample: int = SAMPLE) -> Labeller:
+    """Labeller fitted on the ``sample`` stories with the smallest hash of their id (a fixed bound), residue left out."""
     pick = rows.orderBy(F.xxhash64("story_id", F.lit(SEED)), "story_id").limit(2 * sample)
     docs, labels, seen = [], [], set()
     for r in pick.collect():
-        if r.story_id in seen or len(docs) >= sample:
+        if r.story_id in seen or len(docs) >= sample or residue.is_residue(r.text, r.title, index):
             continue
         seen.add(r.story_id)
         _, lines, tokens, path = read(r.text, r.title, r.extractor)
@@ -268,32 +268,50 @@ def label(model: Labeller, texts, titles, extractors, size: int = 192) -> list[l
     return out
 
 
-def page_lines(rows: DataFrame, leave_out: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(story_id, line_no) of lines that are the page's own.
+def page_lines(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(story_id, line_no) of lines that are the page's own, stories with residue left out.
 
-    rows: story_id, title, extractor, text; ``leave_out`` holds story_ids to skip. Lines are split
-    at line feeds and numbered from 1, blank ones counted but never returned. Null and empty
-    texts give no lines, null titles and extractors are allowed, repeated rows give one result,
-    texts of any length are read whole, other columns are ignored; an empty table gives an
-    empty table. A line scoring exactly one half belongs to the article.
+    rows: story_id, title, extractor, text. Residue is judged in the same pass, so no text is
+    shuffled; a story is left out if any of its texts is residue. Lines are split at line feeds
+    and numbered from 1, blank ones counted but never returned. Null and empty texts give no
+    lines, null titles and extractors are allowed, repeated rows give one result, texts of any
+    length are read whole, other columns are ignored; an empty table gives an empty table. A
+    line scoring exactly one half belongs to the article.
     """
     rows = rows.filter(F.col("text").isNotNull() & F.col("story_id").isNotNull()).select("story_id", "title", "extractor", "text")
-    if leave_out is not None:
-        rows = rows.join(leave_out.select("story_id").distinct(), "story_id", "left_anti")
-    model = fit(rows, sample)
+    index = residue.exemplar_index(rows)
+    model = fit(rows, index, sample)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            bad = np.array([residue.is_residue(x, t, index) for x, t in zip(pdf["text"], pdf["title"], strict=True)], bool)
+            yield pd.DataFrame({"story_id": pdf.loc[bad, "story_id"], "line_no": np.zeros(int(bad.sum()), np.int32)})
+            pdf = pdf.loc[~bad]
             for start in range(0, len(pdf), 2000):
                 part = pdf.iloc[start : start + 2000]
                 labels = label(model, part["text"], part["title"], part["extractor"])
                 hit = [(s, n) for s, x in zip(part["story_id"], labels, strict=True) for n, p in x if p > 0.5]
                 yield pd.DataFrame(hit, columns=["story_id", "line_no"]).astype({"line_no": "int32"})
 
-    return map_batches(rows, judge, "story_id string, line_no int").distinct()
+    marked = map_batches(rows, judge, "story_id string, line_no int")
+    by_story = marked.groupBy("story_id").agg(F.collect_set("line_no").alias("lines"))
+    return by_story.filter(~F.array_contains("lines", 0)).select("story_id", F.explode("lines").alias("line_no"))
+
+
+def bodies(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(story_id, text) with only the article's lines; rows of page_lines' input that aren't residue."""
+    drop = page_lines(rows, sample).groupBy("story_id").agg(F.collect_set("line_no").alias("drop"))
+    texts = rows.filter(F.col("text").isNotNull()).select("story_id", "text").distinct()
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("drop"), (i + 1).cast("int")) & (F.trim(line) != ""))
+    bad = residue.residue(rows)
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return texts.join(drop, "story_id", "left").join(bad, "story_id", "left_anti").select("story_id", text.alias("text"))
 
 
 def found(spark, root: str) -> DataFrame:
     """p6_found: the page's own lines, stories of p3_found left out."""
-    rows = table(spark, root, "fetch_review", ["story_id", "title", "extractor", "text"])
-    return page_lines(rows, residue.residue(rows))
+    return page_lines(table(spark, root, "fetch_review", ["story_id", "title", "extractor", "text"]))
+
+
+def article_texts(spark, root: str) -> DataFrame:
+    return bodies(table(spark, root, "fetch_review", ["story_id", "title", "extractor", "text"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import formatting, residue, sitelines
+from broadsheet.llm import boilerplate, formatting, residue, sitelines
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "p2_found": formatting.found,
         "p2_records": formatting.records,
         "p3_found": residue.found,
+        "p6_found": boilerplate.found,
+        "p6_texts": boilerplate.article_texts,
         "p7_found": sitelines.found,
         "p7_texts": sitelines.texts,
     }

@@ -67,7 +67,8 @@ _WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s\"”»]+(?=[^\sa-z])|\s+[-–—]\s+")
 _QUOTED = re.compile(r"[\"“«][^\"”»\n]*[\"”»]")
 _VARIABLE = re.compile(r"(?=.*\d)(?=.*[^\W\d])|.*\d{4}|.*-.*-")
-_SIGNS = ("{", "%", "@@", "$", "__", "[", "TK", "XX", "null", "undefined", "NaN")
+_SIGNS = ("{", "<%", "%%", "@@", "__", "[", "TK TK", "XX", "null null", "undefined", "NaN")
+_DOLLAR = re.compile(r"\$[A-Z]")
 #: Words of dummy text that hardly occur in prose.
 _RARE_DUMMY = {w for w in DUMMY if len(w) > 4}
 
@@ -123,7 +124,7 @@ def _ends(found: list[str], own: set[str]) -> int:
 
 def is_residue(text: str, title: str | None, index: Index) -> bool:
     everything = set(words(text))
-    if any(x in text for x in _SIGNS) and PLACEHOLDER.search(text):
+    if (any(x in text for x in _SIGNS) or _DOLLAR.search(text)) and PLACEHOLDER.search(text):
         if any(PLACEHOLDER.search(_QUOTED.sub(" ", x)) for x in text.split("\n")):
             return True
     # No window can hold an exemplar that the whole text doesn't hold.
@@ -164,6 +165,13 @@ def _frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": ["", *count], "n": [len(pdf), *count.values()]})
 
 
+def exemplar_index(rows: DataFrame) -> Index:
+    """Index weighted by the documents of ``rows`` (text) each exemplar term occurs in."""
+    counted = map_batches(rows.select("text"), _frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    frequency = {r.term: r.n for r in counted.collect()}  # no more rows than the exemplars have terms
+    return Index(frequency.pop("", 0), frequency)
+
+
 def residue(rows: DataFrame) -> DataFrame:
     """(story_id) of rows (story_id, title, text) whose text is residue.
 
@@ -172,9 +180,7 @@ def residue(rows: DataFrame) -> DataFrame:
     The counted vocabulary is that of the exemplars (a few hundred terms), whatever the corpus.
     """
     rows = rows.filter(F.col("text").isNotNull() & F.col("story_id").isNotNull()).select("story_id", "title", "text")
-    counted = map_batches(rows.select("text"), _frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r.term: r.n for r in counted.collect()}
-    index = Index(frequency.pop("", 0), frequency)
+    index = exemplar_index(rows)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
