@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import boilerplate, formatting, residue, sitelines
+from broadsheet.llm import boilerplate, formatting, residue, sitelines, survivors
 
 
 def queries():
     return {
+        "p1_found": survivors.found,
+        "p1_fused": survivors.fused,
         "p2_found": formatting.found,
         "p2_records": formatting.records,
         "p3_found": residue.found,
