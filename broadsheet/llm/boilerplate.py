@@ -6,8 +6,8 @@ layout: extractor, marks at either end, length, case, blank lines around it, pla
 document, and whether it is the story's title. A bidirectional LSTM in numpy reads the whole
 sequence, so each line is judged in the context of the document.
 
-The network is fitted on the driver on a bounded sample: the ``sample`` documents with the
-smallest hash of their id, labelled by the line kinds of :mod:`broadsheet.llm.lines`; lines
+The network is fitted on the driver on a bounded sample: at most ``sample`` documents, chosen by
+the hash of their id, labelled by the line kinds of :mod:`broadsheet.llm.lines`; lines
 the kinds don't label take part as context only. Every document is then read whole in the
 workers. The fit takes the same time for every size of the corpus and is deterministic.
 """
@@ -238,10 +238,11 @@ def weak_labels(lines: list[str], title: str | None) -> np.ndarray:
 
 
 def fit(rows: DataFrame, index: residue.Index, sample: int = SAMPLE) -> Labeller:
-    """Labeller fitted on the ``sample`` stories with the smallest hash of their id (a fixed bound), residue left out."""
-    pick = rows.orderBy(F.xxhash64("story_id", F.lit(SEED)), "story_id").limit(2 * sample)
+    """Labeller fitted on at most ``sample`` stories whose hashed id is small (a fixed bound), residue left out."""
+    share = min(1.0, 2 * sample / max(1, index.documents))
+    pick = rows.filter(F.pmod(F.xxhash64("story_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(6 * sample)
     docs, labels, seen = [], [], set()
-    for r in pick.collect():
+    for r in sorted(pick.collect(), key=lambda r: (zlib.crc32(r.story_id.encode()), r.story_id, r.text)):
         if r.story_id in seen or len(docs) >= sample or residue.is_residue(r.text, r.title, index):
             continue
         seen.add(r.story_id)

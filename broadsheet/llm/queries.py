@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import boilerplate, formatting, residue, sitelines, survivors
+from broadsheet.llm import boilerplate, formatting, residue, sitelines, survivors, truncation
 
 
 def queries():
@@ -16,6 +16,8 @@ def queries():
         "p6_texts": boilerplate.article_texts,
         "p7_found": sitelines.found,
         "p7_texts": sitelines.texts,
+        "p10_found": truncation.found,
+        "p10_shares": truncation.shares,
     }
 
 

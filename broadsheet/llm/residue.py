@@ -81,6 +81,7 @@ class Index:
     """Inverted index over the exemplars with the weights of their terms."""
 
     def __init__(self, documents: int, frequency: dict[str, int]):
+        self.documents = documents
         self.exemplars = [set(words(x)) for x in (*MESSAGES, *FILLER)]
         idf = lambda t: math.log(1 + documents / (1 + frequency.get(t, 0)))
         self.weight = {t: idf(t) for x in self.exemplars for t in x}
