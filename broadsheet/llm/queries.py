@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import boilerplate, formatting, residue, sitelines, survivors, truncation
+from broadsheet.llm import boilerplate, formatting, names, residue, sitelines, survivors, truncation
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "p2_found": formatting.found,
         "p2_records": formatting.records,
         "p3_found": residue.found,
+        "p4_found": names.found,
+        "p4_clusters": names.clusters,
         "p6_found": boilerplate.found,
         "p6_texts": boilerplate.article_texts,
         "p7_found": sitelines.found,
