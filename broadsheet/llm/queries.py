@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import boilerplate, formatting, names, residue, sitelines, survivors, truncation
+from broadsheet.llm import boilerplate, formatting, mixing, names, packing, residue, sitelines, survivors, truncation
 
 
 def queries():
@@ -18,6 +18,10 @@ def queries():
         "p6_texts": boilerplate.article_texts,
         "p7_found": sitelines.found,
         "p7_texts": sitelines.texts,
+        "p8_placed": packing.placed,
+        "p8_filling": packing.filling,
+        "p9_mix": mixing.items,
+        "p9_shares": mixing.shares,
         "p10_found": truncation.found,
         "p10_shares": truncation.shares,
     }
