@@ -97,7 +97,7 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
     Extra columns pass through untouched; temporary columns carry a reserved prefix.
     """
     t = "__ts_"
-    v = F.lower(strip_blanks(F.regexp_replace(F.col(value), r"[   ]", " ")))
+    v = F.lower(strip_blanks(F.regexp_replace(F.col(value), r"[\u00a0\u2009\u202f]", " ")))
     df = df.withColumn(t + "v", v)
     df = df.withColumn(t + "p", _parts(F.col(t + "v"), F.col(day_first)))
     p = F.col(t + "p")
@@ -157,7 +157,7 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
 
 def host(url: Column) -> Column:
     """Lower-case host of a url without user, port and a leading ``www.``; null where there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[\s ]*(?i:https?:)?//(?:[^/?#@]*@)?([^/?#:\[\]\s]+)", 1))
+    found = F.lower(F.regexp_extract(url, r"^[\s\u00a0]*(?i:https?:)?//(?:[^/?#@]*@)?([^/?#:\[\]\s]+)", 1))
     return F.nullif(F.regexp_replace(found, r"^www\.", ""), F.lit(""))
 
 

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.operators import timestamps
+from broadsheet.plans import relational_queries, scalar_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = scalar_queries.QUERIES | relational_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": timestamps.found}
+    return {name: query for name, (query, _) in _ALL.items()} | {"p5_found": timestamps.found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
