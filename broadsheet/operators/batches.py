@@ -64,7 +64,7 @@ def packed(candidates: DataFrame, cap: int, most: int | None, head: str = "", sy
     ship(candidates.sparkSession)
     schema = "topic string, shard long, batch_no int, position int, story_id string, text string"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ordinal", "story_id"])
         rows = [(a, None if pd.isna(b) else b, c, None if pd.isna(d) else int(d)) for a, b, c, d in zip(pdf["story_id"], pdf["title"], pdf["text"], pdf["year"], strict=True)]
         batches = pack(rows, len(head.encode()), len(system.encode()), cap, most)

@@ -162,7 +162,7 @@ def host(url: Column) -> Column:
 
 
 def with_outlet(stories: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Add ``outlet_tz`` and ``outlet_day_first``, found by the url's host, else by domain.
+    """Add ``__outlet_tz`` and ``__outlet_day_first``, found by the url's host, else by domain.
 
     The outlet table is small by nature (one row per site); Spark broadcasts it only while its
     size is under the session's threshold. Stories without a known outlet get nulls.
@@ -174,7 +174,7 @@ def with_outlet(stories: DataFrame, outlets: DataFrame) -> DataFrame:
     by = lambda n: o.select(*[F.col(c).alias(f"__{n}_{c}") for c in o.columns])
     df = df.join(by("h"), F.col("__h") == F.col("__h_o_domain"), "left").join(by("d"), F.col("__d") == F.col("__d_o_domain"), "left")
     return df.withColumns(
-        {"outlet_tz": F.coalesce(F.col("__h_o_tz"), F.col("__d_o_tz")), "outlet_day_first": F.coalesce(F.col("__h_o_dmy"), F.col("__d_o_dmy"))}
+        {"__outlet_tz": F.coalesce(F.col("__h_o_tz"), F.col("__d_o_tz")), "__outlet_day_first": F.coalesce(F.col("__h_o_dmy"), F.col("__d_o_dmy"))}
     ).drop("__h", "__d", *[f"__{n}_{c}" for n in "hd" for c in o.columns])
 
 
@@ -187,10 +187,10 @@ def normal_times(stories: DataFrame, outlets: DataFrame) -> DataFrame:
     stay repeated; an empty table gives an empty table.
     """
     df = with_outlet(stories, outlets)
-    df = parse(df, "publish_date", "outlet_tz", "outlet_day_first", "__p")
-    df = parse(df, "indexed_at", "outlet_tz", "outlet_day_first", "__i")
+    df = parse(df, "publish_date", "__outlet_tz", "__outlet_day_first", "__p")
+    df = parse(df, "indexed_at", "__outlet_tz", "__outlet_day_first", "__i")
     iso = F.date_format(F.col("__i.instant"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return df.withColumns({"publish_day": F.date_format(F.col("__p.day"), "yyyy-MM-dd"), "indexed_utc": iso}).drop("__p", "__i", "outlet_tz", "outlet_day_first")
+    return df.withColumns({"publish_day": F.date_format(F.col("__p.day"), "yyyy-MM-dd"), "indexed_utc": iso}).drop("__p", "__i", "__outlet_tz", "__outlet_day_first")
 
 
 def found(spark, root: str) -> DataFrame:
