@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from broadsheet.config import TopicConfig
 from broadsheet.functions.text import date_prefix, first_term, normalize_title
 from broadsheet.functions.urls import contains_any, domain_of, in_domains, normalize_url
-from broadsheet.session import any_of
+from broadsheet.session import any_of, durable
 
 
 def rule_reason(topic: TopicConfig) -> Column:
@@ -71,7 +71,8 @@ def flatten(states: DataFrame) -> DataFrame:
 
 def deduplicate(stories: DataFrame, topic: TopicConfig, outlets: list[str] = ()) -> DataFrame:
     """Rules, then equal urls, then equal titles among what is left, then final originals."""
-    states = decide(stories, topic, outlets).withColumn("dup_of_story_id", F.lit(None).cast("string"))
+    # Every pass reads the states twice; they are narrow, and made once.
+    states = durable(decide(stories, topic, outlets).withColumn("dup_of_story_id", F.lit(None).cast("string")))
     states = mark(mark(states, "url_norm", "duplicate_url"), "title_norm", "duplicate_title")
     return flatten(states)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from broadsheet.config import SAMPLE_TOPIC
 from broadsheet.operators import batches, quality, review, upsert
 from broadsheet.plans.scalar_queries import DAY_SQL, TITLE_SQL, URL_SQL
-from broadsheet.session import table
+from broadsheet.session import durable, table
 
 VERSION = "v7"
 TERMS = list(SAMPLE_TOPIC.priority_terms)
@@ -64,7 +64,8 @@ def qc_decisions(spark, root):
 
 
 def _states(spark, root):
-    return quality.decide(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC).withColumn("dup_of_story_id", F.lit(None).cast("string"))
+    df = quality.decide(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
+    return durable(df.withColumn("dup_of_story_id", F.lit(None).cast("string")))
 
 
 def dedup_url(spark, root):
