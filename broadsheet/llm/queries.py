@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from broadsheet.llm import boilerplate, formatting, mixing, names, packing, residue, sitelines, survivors, truncation
 
+from broadsheet.session import NO_VALUE_WORDS
+
 
 def queries():
     return {
@@ -27,5 +29,17 @@ def queries():
     }
 
 
+_NO_VALUE = ", ".join("'" + w + "'" for w in NO_VALUE_WORDS)
+_SITE_LINES = rf"""d AS (SELECT DISTINCT story_id, lower(regexp_replace(domain, '^\s+|\s+$', '', 'g')) AS site, text FROM fetch_review
+ WHERE text IS NOT NULL AND story_id IS NOT NULL AND domain IS NOT NULL AND lower(regexp_replace(domain, '^\s+|\s+$', '', 'g')) NOT IN ({_NO_VALUE})),
+l AS (SELECT story_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d),
+k AS (SELECT story_id, site, line, line_no, lower(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS letters FROM l),
+f AS (SELECT site, letters FROM k WHERE letters <> '' GROUP BY site, letters HAVING count(DISTINCT story_id) >= {sitelines.MIN_DOCUMENTS})"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": f"WITH {_SITE_LINES} SELECT DISTINCT story_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, letters)",
+        "p7_texts": f"""WITH {_SITE_LINES}, n AS (SELECT story_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (f.site IS NULL), '') AS text FROM k LEFT JOIN f USING (site, letters) GROUP BY story_id)
+        SELECT story_id, text FROM n""",
+    }

@@ -134,12 +134,12 @@ def fit(rows: DataFrame) -> Model:
     kept = counted.filter("k > 0").join(F.broadcast(sizes), "g").filter("n >= least")  # sizes: one row per language
     ends = {(r.g, r.k, r.h): r.n for r in kept.select("g", "k", "h", "n").collect()}  # at most orders / SHARE per language
     known = {k: np.array(sorted({h for _, kk, h in ends if kk == k}), np.int64) for k in ORDERS}
-    maps = {}
-    for k, hashes in known.items():
-        maps[k] = np.zeros(1 << _BITS, bool)
-        maps[k][hashes.view(np.uint64) >> np.uint64(64 - _BITS)] = True
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps = {}  # made in the worker: a bit per hash prefix, so most windows are dismissed at once
+        for k, hashes in known.items():
+            maps[k] = np.zeros(1 << _BITS, bool)
+            maps[k][hashes.view(np.uint64) >> np.uint64(64 - _BITS)] = True
         for pdf in batches:
             for g, texts in pdf.groupby("g")["text"]:
                 found: dict[int, np.ndarray] = {k: np.zeros(len(known[k]), np.int64) for k in ORDERS}
