@@ -24,7 +24,7 @@ from broadsheet.session import durable, filled, strip_blanks, table
 
 FILLED_FIELDS = ("title", "url", "domain", "media_name", "media_url", "language")
 FUSED_FIELDS = ("title", "media_name", "media_url", "language", "publish_day", "indexed_utc")
-ROUNDS = 4
+ROUNDS = 3
 PRIOR = 0.5
 #: Pseudo-counts (claimed, missed) of true facts and (claimed, denied) of false ones.
 SENSITIVITY_PRIOR = (8.0, 4.0)
@@ -51,11 +51,13 @@ def group_members(state: DataFrame) -> DataFrame:
 
 
 def described(members: DataFrame, stories: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Members with their stories' fields (nulls where none is held), normal times and filled count."""
+    """Members with their stories' fields (nulls where none is held), normal times and filled count.
+
+    A story with several rows gives several members; the best of them counts for the choice.
+    """
     columns = ["story_id", *FILLED_FIELDS, "publish_date", "indexed_at"]
     wanted = stories.select(*columns).join(members.select("story_id").distinct(), "story_id", "left_semi")
-    one = normal_times(wanted, outlets).groupBy("story_id").agg(F.min(F.struct(*columns[1:], "publish_day", "indexed_utc")).alias("s")).select("story_id", "s.*")
-    df = members.join(one, "story_id", "left")
+    df = members.join(normal_times(wanted, outlets), "story_id", "left")
     tests = [filled(F.col(c)) for c in FILLED_FIELDS] + [F.col("publish_day").isNotNull(), F.col("indexed_utc").isNotNull()]
     return df.withColumn("n_filled", sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0)))
 
@@ -75,34 +77,32 @@ def judge(members: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
     source = F.lower(F.coalesce(F.when(filled(F.col("domain")), strip_blanks(F.col("domain"))), F.lit("?")))
     stated = F.array(*[F.struct(F.lit(f).alias("field"), _value(f).alias("value")) for f in FUSED_FIELDS])
     claims = members.select("component", source.alias("source"), F.inline(stated)).filter(F.col("value").isNotNull()).distinct()
-    claims = durable(claims.withColumns({"g": F.xxhash64("component", "field"), "f": F.xxhash64("component", "field", "value")}))
-    quality = claims.select("source").distinct().withColumns({"sensitivity": F.lit(0.7), "specificity": F.lit(0.9)})
-    facts = None
+    claims = durable(claims.withColumns({"s": F.xxhash64("source"), "g": F.xxhash64("component", "field"), "f": F.xxhash64("component", "field", "value")}))
+    # The rounds work on three numbers a claim; an outlet's voice counts once per group and field.
+    ids = durable(claims.select("s", "g", "f"))
+    voices = durable(ids.select("s", "g").distinct())
+    quality = claims.select("s").distinct().withColumns({"sensitivity": F.lit(0.7), "specificity": F.lit(0.9)})
+    facts = ids.select("g", "f", F.lit(PRIOR).alias("p")).distinct() if rounds < 1 else None
     for _ in range(rounds):
-        logit = lambda yes, no: F.log(F.col(yes) / (1 - F.col(no)))
-        weights = quality.select("source", logit("sensitivity", "specificity").alias("claim"), F.log((1 - F.col("sensitivity")) / F.col("specificity")).alias("deny"))
-        cast = claims.join(weights, "source")
-        # One outlet can state several values in a group; its denial weighs once per group and field.
-        voices = cast.groupBy("g", "source").agg(F.first("deny").alias("deny"))
-        denied = voices.groupBy("g").agg(F.sum("deny").alias("denied"))
-        support = cast.groupBy("g", "f").agg(F.sum(F.col("claim") - F.col("deny")).alias("support"))
+        deny = F.log((1 - F.col("sensitivity")) / F.col("specificity"))
+        weights = quality.select("s", (F.log(F.col("sensitivity") / (1 - F.col("specificity"))) - deny).alias("claim"), deny.alias("deny"))
+        denied = voices.join(weights.select("s", "deny"), "s").groupBy("g").agg(F.sum("deny").alias("denied"))
+        support = ids.join(weights.select("s", "claim"), "s").groupBy("g", "f").agg(F.sum("claim").alias("support"))
         p = 1 / (1 + F.exp(-(F.log(F.lit(PRIOR / (1 - PRIOR))) + F.col("support") + F.col("denied"))))
-        facts = support.join(denied, "g").select("g", "f", p.alias("p"))
+        facts = durable(support.join(denied, "g").select("g", "f", p.alias("p")))
         totals = facts.groupBy("g").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
-        per_claim = claims.select("source", "f").join(facts.select("f", "p"), "f").groupBy("source").agg(F.sum("p").alias("tp"), F.sum(1 - F.col("p")).alias("fp"))
-        per_voice = claims.select("g", "source").distinct().join(totals, "g").groupBy("source").agg(F.sum("true").alias("t"), F.sum("false").alias("u"))
+        per_claim = ids.select("s", "f").join(facts.select("f", "p"), "f").groupBy("s").agg(F.sum("p").alias("tp"), F.sum(1 - F.col("p")).alias("fp"))
+        per_voice = voices.join(totals, "g").groupBy("s").agg(F.sum("true").alias("t"), F.sum("false").alias("u"))
         (a, b), (c, d) = SENSITIVITY_PRIOR, SPECIFICITY_PRIOR
         quality = durable(
-            per_claim.join(per_voice, "source").select(
-                "source",
+            per_claim.join(per_voice, "s").select(
+                "s",
                 ((F.col("tp") + a) / (F.col("t") + a + b)).alias("sensitivity"),
                 (1 - (F.col("fp") + c) / (F.col("u") + c + d)).alias("specificity"),
             )
         )
-    if facts is None:
-        facts = claims.select("g", "f", F.lit(PRIOR).alias("p")).distinct()
-    named = claims.select("component", "field", "value", "f").distinct().join(facts.select("f", "p"), "f")
-    return named.select("component", "field", "value", "p"), quality
+    named = claims.groupBy("f").agg(F.min(F.struct("component", "field", "value")).alias("n")).join(facts.select("f", "p"), "f")
+    return named.select("n.component", "n.field", "n.value", "p"), claims.select("s", "source").distinct().join(quality, "s").drop("s")
 
 
 def best_representatives(state: DataFrame, stories: DataFrame, outlets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -121,7 +121,7 @@ def best_representatives(state: DataFrame, stories: DataFrame, outlets: DataFram
         F.coalesce(-F.unix_date(F.to_date("publish_day")), F.lit(1 << 30)).alias("c"),
         F.col("story_id"),
     )
-    chosen = members.groupBy("topic", "component").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    chosen = members.groupBy("topic", "component").agg(F.min(order).alias("best"), F.count_distinct("story_id").alias("size"))
     facts, _ = judge(members, rounds)
     top = facts.groupBy("component", "field").agg(F.max("p").alias("top"))
     held = facts.join(top, ["component", "field"]).filter((F.col("p") > 0.5) | ((F.col("top") <= 0.5) & (F.col("p") == F.col("top"))))
