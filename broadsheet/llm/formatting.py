@@ -2,7 +2,8 @@
 
 1. Byte-identical (title, url) rows are collapsed first, with counts, before any text is touched.
 2. Only the distinct survivors are canonicalised (Arrow batches, one pass).
-3. The survivors are grouped again on the full canonical text, and the counts are summed.
+3. The survivors are grouped again on the full canonical text, and the counts are summed under
+   its 128-bit digest.
 
 Two titles say the same if their words agree in order, or if they agree after sorting the
 parts that separators set off. The second grouping therefore runs in two steps: per page and
@@ -76,7 +77,7 @@ def _canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = [title_keys(t) for t in pdf["title"]]
         pdf["page"] = [page_key(u) for u in pdf["url"]]
         pdf["said"], pdf["parts"], pdf["n_parts"] = ([k[i] for k in keys] for i in range(3))
-        yield pdf.drop(columns=["title", "url"])
+        yield pdf[["raw_id", "page", "said", "parts", "n_parts"]]
 
 
 def _digest(*columns: str):
@@ -94,22 +95,19 @@ def collapse(rows: DataFrame, key: str = "story_id") -> tuple[DataFrame, DataFra
     is the smallest.
     """
     first = f"first_{key}"
-    given = rows.filter(F.col(key).isNotNull() & filled(F.col("title")) & filled(F.col("url")))
-    given = given.select(F.col(key).alias("k"), "title", "url")
-    raw = given.groupBy("title", "url").agg(F.min("k").alias("least"), F.count_distinct("k").alias("n"))
-    raw = raw.withColumn("raw_id", _digest("title", "url"))
-    canon = map_batches(raw, _canonical, "least string, n long, raw_id binary, page string, said string, parts string, n_parts int")
-    canon = canon.filter(F.col("said") != "")
-    said = canon.groupBy("page", "said").agg(
-        F.min("least").alias("least"), F.sum("n").alias("n"), F.count("*").alias("spellings"), F.max(F.struct("n_parts", "parts")).alias("best")
-    )
-    said = said.withColumns({"said_id": _digest("page", "said"), "parts": F.col("best.parts")})
-    records = said.groupBy("page", "parts").agg(F.min("least").alias(first), F.sum("n").alias("copies"), F.sum("spellings").alias("spellings"))
-    several = records.filter("copies > 1").select(_digest("page", "parts").alias("record_id"), first)
-    of_said = said.select("said_id", _digest("page", "parts").alias("record_id")).join(several, "record_id").select("said_id", first)
-    of_raw = canon.select("raw_id", _digest("page", "said").alias("said_id")).join(of_said, "said_id").select("raw_id", first)
-    members = given.select("k", _digest("title", "url").alias("raw_id")).join(of_raw, "raw_id").select(first, F.col("k").alias(key)).distinct()
-    return records.select(first, "copies", "spellings"), members
+    given = rows.filter(F.col(key).isNotNull() & filled(F.col("title")) & filled(F.col("url"))).select(F.col(key).alias("k"), "title", "url")
+    # Byte-identical texts collapse before the shuffle; who holds them, and how many, travels as digests.
+    holders = given.select("k", _digest("title", "url").alias("raw_id")).distinct()
+    counts = holders.groupBy("raw_id").agg(F.min("k").alias("least"), F.count("*").alias("n"))
+    raw = given.select("title", "url").distinct().withColumn("raw_id", _digest("title", "url"))
+    canon = map_batches(raw, _canonical, "raw_id binary, page string, said string, parts string, n_parts int").filter(F.col("said") != "")
+    said = canon.groupBy("page", "said").agg(F.max(F.struct("n_parts", "parts")).alias("best"))
+    record_of = said.select(_digest("page", "said").alias("said_id"), _digest("page", "best.parts").alias("record_id"))
+    of_raw = canon.select("raw_id", _digest("page", "said").alias("said_id")).join(record_of, "said_id").select("raw_id", "record_id")
+    summed = of_raw.join(counts, "raw_id").groupBy("record_id").agg(F.min("least").alias(first), F.sum("n").alias("copies"), F.count("*").alias("spellings"))
+    several = summed.filter("copies > 1").select("record_id", first)
+    members = of_raw.join(several, "record_id").join(holders, "raw_id").select(first, F.col("k").alias(key)).distinct()
+    return summed.select(first, "copies", "spellings"), members
 
 
 def found(spark, root: str) -> DataFrame:
