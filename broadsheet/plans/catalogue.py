@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.operators import timestamps
-from broadsheet.plans import relational_queries, scalar_queries
+from broadsheet.plans import relational_queries, scalar_queries, timestamp_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL = scalar_queries.QUERIES | relational_queries.QUERIES
@@ -18,4 +18,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql} | {"p5_found": timestamp_sql.SQL}
