@@ -13,7 +13,8 @@ block of queries meets every block of tries in a task of its own, so no task hol
 two blocks and no pair is lost. Heads of several words are compared in every order of words.
 
 Neighbours become links by rules: a spelling seen once joins the nearest better known one; two
-well known spellings stay apart unless other fields of their cases agree; a partly known role
+well known spellings, or two that differ by a consonant between vowels, stay apart unless other
+fields of their cases agree; a partly known role
 joins the one full form it fits, or the one whose cases agree. Clusters are the connected
 components; pairs of cases are formed from pairs of differing strings only.
 """
@@ -77,6 +78,7 @@ _UNBUSINESS = {a: k for k, v in BUSINESS.items() for a in (k, *v.split())}
 _UNSUFFIX = {a: k for k, v in SUFFIXES.items() for a in (k, *v.split())}
 _KIND = {a: k for k, v in BODIES for a in v.split()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+")
+_VOWELS = set("aeiouy")
 
 
 def fold(text: str) -> str:
@@ -102,6 +104,14 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def another_name(a: str, b: str) -> bool:
+    """True if the two differ by one consonant between vowels: both then read like names, and a slip is no likelier than two people."""
+    if len(a) != len(b):
+        return False
+    at = [i for i in range(len(a)) if a[i] != b[i]]
+    return len(at) == 1 and 0 < at[0] < len(a) - 1 and not {a[at[0]], b[at[0]]} & _VOWELS and a[at[0] - 1] in _VOWELS and a[at[0] + 1] in _VOWELS
+
+
 class Trie:
     """Words in a trie, searched with the Levenshtein automaton for one edit (with swaps)."""
 
@@ -319,7 +329,7 @@ def _join_shard(shard: str, queries: list[tuple[int, str]], index: list[tuple[in
                     continue  # in very short heads one letter makes another name
                 for b in by_head[other]:
                     if b != form:
-                        out.add((min(form, b), max(form, b), int(other != own)))
+                        out.add((min(form, b), max(form, b), 0 if other == own else 1 + another_name(other, own)))
     return out
 
 
@@ -347,7 +357,10 @@ def _join_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def neighbours(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(a, b, apart): pairs of forms under a common role key with heads at most one edit apart."""
+    """(a, b, apart): pairs of forms under a common role key with heads at most one edit apart.
+
+    apart is 0 for equal heads, 2 where the edit makes :func:`another_name`, else 1.
+    """
     placed = map_batches(nodes.select("form", "field", "head", "role", "partial"), _to_shards, "form long, head string, shard string").distinct()
     sizes = placed.groupBy("shard").agg(F.count("*").alias("size")).filter("size > 1")
     placed = placed.join(sizes, "shard").withColumn("blocks", F.ceil(F.col("size") / shard).cast("int"))
@@ -412,10 +425,10 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
         .otherwise(F.col("a_role") == F.col("b_role"))
     )
     better = F.struct("b_n", "b") > F.struct("a_n", "a")
-    once = F.least("a_n", "b_n") == 1
+    once = (F.least("a_n", "b_n") == 1) & (F.col("apart") < 2)
     both = both.filter(fits).withColumns({"a_part": a_part, "b_part": b_part})
     same_kind = both.filter((F.col("a_part") == F.col("b_part")) & better & ((F.col("agree") == 1) | once))
-    to_full = both.filter(F.col("a_part") & ~F.col("b_part"))
+    to_full = both.filter(F.col("a_part") & ~F.col("b_part") & ((F.col("apart") < 2) | (F.col("agree") == 1)))
     best = F.struct(F.col("agree"), -F.col("apart"), F.col("b_n"), F.col("b"))
     like = same_kind.groupBy("a").agg(F.max(best).alias("s")).select("a", F.col("s.b").alias("b"))
     # A partial form takes the one full form it fits best: same head before a near one, agreeing cases first.

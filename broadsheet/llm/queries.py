@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from broadsheet.llm import boilerplate, formatting, mixing, names, packing, residue, sitelines, survivors, truncation
-
+from broadsheet.plans import timestamp_sql
+from broadsheet.plans.timestamp_sql import _bare
 from broadsheet.session import NO_VALUE_WORDS
 
 
@@ -37,8 +38,26 @@ k AS (SELECT story_id, site, line, line_no, lower(regexp_replace(line, '[^\p{{L}
 f AS (SELECT site, letters FROM k WHERE letters <> '' GROUP BY site, letters HAVING count(DISTINCT story_id) >= {sitelines.MIN_DOCUMENTS})"""
 
 
+_FILLED = " + ".join(
+    rf"CAST({c} IS NOT NULL AND lower({_bare(c)}) NOT IN ({_NO_VALUE}) AS INTEGER)" for c in ("title", "url", "domain", "media_name", "media_url", "language")
+)
+_SURVIVORS = f"""WITH RECURSIVE {timestamp_sql.CTES},
+st AS (SELECT DISTINCT topic, story_id, qc_status, dup_of_story_id FROM story_topic_state WHERE topic IS NOT NULL AND story_id IS NOT NULL),
+e0 AS (SELECT t.topic, t.story_id AS a, t.dup_of_story_id AS b FROM st t JOIN (SELECT DISTINCT topic, story_id FROM st) k ON k.topic = t.topic AND k.story_id = t.dup_of_story_id WHERE t.dup_of_story_id <> t.story_id),
+e AS (SELECT topic, a, b FROM e0 UNION SELECT topic, b, a FROM e0),
+c(topic, a, b) AS (SELECT topic, a, a FROM e UNION SELECT c.topic, c.a, e.b FROM c JOIN e ON e.topic = c.topic AND e.a = c.b),
+m AS (SELECT topic, a AS story_id, min(b) AS component FROM c GROUP BY topic, a),
+q AS (SELECT topic, story_id, min(CASE WHEN qc_status IN ('ok', 'dup') THEN 0 ELSE 1 END) AS verdict FROM st GROUP BY topic, story_id),
+times AS (SELECT story_id, max(normal_value) FILTER (field_name = 'publish_date') AS publish_day, max(normal_value) FILTER (field_name = 'indexed_at') AS indexed_utc FROM n GROUP BY story_id),
+d AS (SELECT DISTINCT story_id, title, url, domain, media_name, media_url, language FROM stories),
+w AS (SELECT d.story_id, {_FILLED} + CAST(publish_day IS NOT NULL AS INTEGER) + CAST(indexed_utc IS NOT NULL AS INTEGER) AS held, publish_day FROM d LEFT JOIN times USING (story_id)),
+k AS (SELECT m.topic, m.story_id, row_number() OVER (PARTITION BY m.topic, component ORDER BY verdict, coalesce(held, 0) DESC, publish_day DESC NULLS LAST, m.story_id) AS place FROM m JOIN q USING (topic, story_id) LEFT JOIN w ON w.story_id = m.story_id)
+SELECT topic, story_id FROM k WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _SURVIVORS,
         "p7_found": f"WITH {_SITE_LINES} SELECT DISTINCT story_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, letters)",
         "p7_texts": f"""WITH {_SITE_LINES}, n AS (SELECT story_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (f.site IS NULL), '') AS text FROM k LEFT JOIN f USING (site, letters) GROUP BY story_id)
         SELECT story_id, text FROM n""",
