@@ -36,12 +36,12 @@ EPOCHS = 10
 BATCH = 24
 SEED = 7
 
-_EXTRACTORS = ("trafilatura", "beautifulsoup", "readability-lxml", "mediacloud")
+_EXTRACTORS = ("trafilatura", "beautifulsoup", "readability-lxml")
 _ITEM = re.compile(r"(?:\d{4} ?: |\* |[-–] |• |\d+\) )")
 _POINT = re.compile(r"(?:[»›] |\d{1,2}\. )")
 _DIGIT = re.compile(r"\d")
 _CLOSE = tuple(".?!”\"»)")
-N_PATH = 27
+N_PATH = 26
 
 
 class _Buckets(dict):
@@ -97,8 +97,8 @@ def read(text: str, title: str | None, extractor: str | None) -> tuple[list[int]
         gaps.append(gap)
         gap = 0
     n = len(lines)
-    which = [0.0] * 5
-    which[_EXTRACTORS.index(extractor) if extractor in _EXTRACTORS else 4] = 1.0
+    which = [0.0] * 4
+    which[_EXTRACTORS.index(extractor) if extractor in _EXTRACTORS else 3] = 1.0
     rows = []
     for i, line in enumerate(lines):
         size, first = len(line), line[0]

@@ -55,9 +55,25 @@ k AS (SELECT m.topic, m.story_id, row_number() OVER (PARTITION BY m.topic, compo
 SELECT topic, story_id FROM k WHERE place = 1"""
 
 
+_SEPARATOR = formatting.SEPARATOR.pattern
+_PLAIN = r"nfc_normalize(lower(regexp_replace(replace(replace(replace(replace({0}, '&#39;', chr(39)), '&amp;', '&'), 'ﬁ', 'fi'), chr(160), ' '), '[\x{{00ad}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g')))"
+_NUMBER = "CASE WHEN regexp_matches(w, '^[0-9]') THEN regexp_split_to_array(w, '[.,]')[1] || array_to_string(list_transform(regexp_split_to_array(w, '[.,]')[2:], lambda q: CASE WHEN length(q) = 3 THEN q ELSE '.' || q END), '') ELSE w END"
+_RECORDS = rf"""WITH g AS (SELECT DISTINCT story_id AS k, title, url FROM stories WHERE story_id IS NOT NULL AND title IS NOT NULL AND url IS NOT NULL AND lower({_bare('title')}) NOT IN ({_NO_VALUE}) AND lower({_bare('url')}) NOT IN ({_NO_VALUE})),
+t AS (SELECT *, {_PLAIN.format('title')} AS tt, trim({_PLAIN.format('url')}, chr(32) || chr(9) || chr(10) || chr(13)) AS uu FROM g),
+p AS (SELECT k, uu, list_filter(list_transform(regexp_split_to_array(tt, '{_SEPARATOR}'), lambda part: array_to_string(list_transform(regexp_extract_all(part, '\d+(?:[.,]\d+)*|\p{{L}}+'), lambda w: {_NUMBER}), ' ')), lambda x: x <> '') AS parts,
+ regexp_replace(regexp_extract(uu, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', '') AS netloc, regexp_extract(uu, '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path, regexp_extract(uu, '^(?:[a-z][a-z0-9+.-]*:)?//[^?#]*\?([^#]*)', 1) AS query FROM t),
+c AS (SELECT k, array_to_string(parts, ' ') AS said, array_to_string(list_sort(parts), ' | ') AS sorted, len(parts) AS n, CASE WHEN NOT regexp_matches(uu, '^(?:[a-z][a-z0-9+.-]*:)?//') THEN uu ELSE
+ rtrim(regexp_replace(regexp_replace(netloc, '^www\.', ''), ':(?:80|443)?$', ''), '.') || regexp_replace(rtrim(regexp_replace(url_decode(path), '/+', '/', 'g'), '/'), '/index\.(?:html?|php|aspx)$', '') ||
+ coalesce('?' || nullif(array_to_string(list_sort(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: url_decode(replace(x, '+', ' '))), lambda x: NOT regexp_matches(split_part(x, '=', 1), '{formatting.TRACKING.pattern}'))), '&'), ''), '') END AS page FROM p),
+b AS (SELECT page, said, max_by(sorted, {{'n': n, 's': sorted}}) AS best FROM c WHERE said <> '' GROUP BY page, said),
+r AS (SELECT c.k, min(c.k) OVER (PARTITION BY c.page, b.best) AS first_story_id FROM c JOIN b ON b.page = c.page AND b.said = c.said)
+SELECT DISTINCT first_story_id, k AS story_id FROM r WHERE k <> first_story_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _SURVIVORS,
+        "p2_found": _RECORDS,
         "p7_found": f"WITH {_SITE_LINES} SELECT DISTINCT story_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, letters)",
         "p7_texts": f"""WITH {_SITE_LINES}, n AS (SELECT story_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (f.site IS NULL), '') AS text FROM k LEFT JOIN f USING (site, letters) GROUP BY story_id)
         SELECT story_id, text FROM n""",
