@@ -37,7 +37,7 @@ from broadsheet.session import durable, filled, map_batches, strip_blanks, table
 FIELDS = ("person_name", "private_org", "public_org")
 SHARD = 20_000
 #: A token is a known given name if it stands in that many names, mostly where given names stand.
-GIVEN_LEAST, GIVEN_SHARE = 5, 2e-4
+GIVEN_LEAST, GIVEN_SHARE, SLIP = 5, 2e-4, 8
 #: What more cases than this share tells nothing about who is meant.
 EVIDENCE_CASES = 60
 
@@ -55,6 +55,11 @@ NICKNAMES = {
     "rob": "robert", "bob": "robert", "bobby": "robert", "sam": "samuel samantha", "sandy": "alexander sandra", "sue": "susan", "susie": "susan", "tom": "thomas",
     "tommy": "thomas", "vicky": "victoria", "vic": "victor victoria", "tori": "victoria", "bill": "william", "billy": "william", "will": "william", "liam": "william",
 }
+#: Letters an initial of a given name can be: its own and those of its short forms (T. for Tony, Anthony).
+INITIALS: dict[str, str] = {}
+for _short, _full in NICKNAMES.items():
+    for _name in _full.split():
+        INITIALS[_name] = "".join(sorted(set(INITIALS.get(_name, _name[0]) + _short[0])))
 # Words of business names with their abbreviations, and legal suffixes.
 BUSINESS = {
     "engineering": "eng engg engr", "software": "sftw softw sw", "developments": "dev devs devel development", "investments": "inv invest investment", "paving": "pav",
@@ -81,6 +86,11 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|\d+")
 _VOWELS = set("aeiouy")
 
 
+def as_read(word: str) -> str:
+    """The word with letters that scans confuse brought to one of them ("rn" and "m")."""
+    return word.replace("rn", "m")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, with plain apostrophes."""
     text = unicodedata.normalize("NFKD", text.replace("’", "'")).casefold()
@@ -178,15 +188,22 @@ def person_tokens(name: str) -> tuple[list[str], list[str]]:
     return cut(left), cut(right)
 
 
-def person_form(name: str, given: set[str], trie: Trie) -> tuple[str, str, str] | None:
-    """(head, role, partial): role is the given name, or what is known of it."""
+def person_form(name: str, given: set[str], trie: Trie, seen: set[str] | None = None) -> tuple[str, str, str] | None:
+    """(head, role, partial): role is the given name, or what is known of it.
+
+    A short form of several names means those that the column itself has (``seen``), if any.
+    """
     left, right = person_tokens(name)
 
     def settle(token: str) -> str:
-        if token in given or token in NICKNAMES or len(token) < 3:
+        if token in given or token in NICKNAMES or len(token) < 4:
             return token
-        near = trie.near(token) if len(token) > 3 else set()
-        return min(near) if len(near) == 1 else token
+        near = trie.near(token)
+        alike = {n for n in near if as_read(n) == as_read(token)} or near
+        if len(alike) != 1:
+            return token
+        one = min(alike)
+        return one if one in given or one in NICKNAMES else min((g for g in given if as_read(g) == one), default=token)
 
     known = lambda t: t in given or t in NICKNAMES
     if right and left:
@@ -198,8 +215,13 @@ def person_form(name: str, given: set[str], trie: Trie) -> tuple[str, str, str]
             last, first = full, [t for t in tokens if len(t) == 1]
         else:
             settled = [settle(t) for t in full]
-            at = next((i for i in (0, len(full) - 1) if known(full[i])), next((i for i in (0, len(full) - 1) if known(settled[i])), 0))
-            first, last = [settled[at]], [t for i, t in enumerate(full) if i != at]
+            at = next((i for i in (0, len(full) - 1) if known(full[i])), next((i for i in (0, len(full) - 1) if known(settled[i])), None))
+            edge = next((t for t in (tokens[0], tokens[-1]) if len(t) == 1), None)
+            if at is None and edge:  # an initial and a surname of several words
+                last, first = full, [edge]
+            else:
+                at = at or 0
+                first, last = [settled[at]], [t for i, t in enumerate(full) if i != at]
     last = [t for t in last if len(t) > 1]
     if not last:
         return None
@@ -208,7 +230,7 @@ def person_form(name: str, given: set[str], trie: Trie) -> tuple[str, str, str]
     if not whole:
         return (head, first[0], "initial") if first else (head, "", "initial")
     options = NICKNAMES.get(whole[0], whole[0]).split() if whole[0] not in given or whole[0] in NICKNAMES else [whole[0]]
-    fitting = [o for o in options if o in given] or options
+    fitting = [o for o in options if o in (given if seen is None else seen)] or options
     return (head, fitting[0], "") if len(fitting) == 1 else (head, " ".join(sorted(fitting)), "nickname")
 
 
@@ -253,23 +275,29 @@ def _tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def given_names(names: DataFrame) -> set[str]:
-    """Given names known from the column itself: at most tokens / GIVEN_SHARE of them."""
+    """Given names known from the column itself: at most tokens / GIVEN_SHARE of them.
+
+    A token within one edit of one ``SLIP`` times as frequent is a slip that many made ("umaa"), no name.
+    """
     persons = names.filter(F.col("field") == "person_name").select("name")
     least = max(GIVEN_LEAST, int(GIVEN_SHARE * persons.count()))
     counted = map_batches(persons, _tokens_of, "token string, given long, n long").groupBy("token").agg(F.sum("given").alias("g"), F.sum("n").alias("n"))
-    return {r.token for r in counted.filter((F.col("n") >= least) & (F.col("g") > 0.6 * F.col("n"))).select("token").collect()}
+    held = {r.token: r.n for r in counted.filter((F.col("n") >= least) & (F.col("g") > 0.6 * F.col("n"))).select("token", "n").collect()}
+    trie = Trie(sorted(held))
+    return {t for t, n in held.items() if not any(held[o] >= SLIP * n for o in trie.near(t))}
 
 
 def forms(names: DataFrame) -> DataFrame:
     """names (field, name, n) with head, role and partial; names without any word are left out."""
-    given = given_names(names) | {x for v in NICKNAMES.values() for x in v.split()}
-    trie = Trie(sorted(given))
+    seen = given_names(names)
+    given = seen | {x for v in NICKNAMES.values() for x in v.split()}
+    trie = Trie(sorted(given | {n for n in NICKNAMES if len(n) > 2} | {as_read(g) for g in seen}))
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = []
             for field, name in zip(pdf["field"], pdf["name"], strict=True):
-                form = person_form(name, given, trie) if field == "person_name" else private_form(name) if field == "private_org" else public_form(name)
+                form = person_form(name, given, trie, seen) if field == "person_name" else private_form(name) if field == "private_org" else public_form(name)
                 made.append(form or (None, None, None))
             pdf[["head", "role", "partial"]] = pd.DataFrame(made, index=pdf.index, columns=["head", "role", "partial"], dtype="object")
             yield pdf
@@ -286,7 +314,7 @@ def _role_keys(field: str, role: str, partial: str) -> list[str]:
         return [role]
     if partial == "initial":
         return ["i:" + role]
-    return ["g:" + r for r in role.split()] + sorted({"i:" + r[:1] for r in role.split()})
+    return ["g:" + r for r in role.split()] + sorted({"i:" + c for r in role.split() for c in INITIALS.get(r, r[:1])})
 
 
 def _to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +330,8 @@ def _to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _orders(head: str) -> set[str]:
-    return {" ".join(p) for p in permutations(head.split())} if 1 <= head.count(" ") <= 2 else {head}
+    """The head in every order of its words, as written and as a scan may have read it."""
+    return {" ".join(p) for h in {head, as_read(head)} for p in permutations(h.split())} if head.count(" ") <= 2 else {head, as_read(head)}
 
 
 def _join_shard(shard: str, queries: list[tuple[int, str]], index: list[tuple[int, str]]) -> set[tuple[int, int, int]]:
@@ -416,9 +445,10 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     private = F.col("a_field") == "private_org"
     a_part = F.when(person, F.col("a_partial") != "").when(private, F.col("a_partial") == "").otherwise(F.lit(False))
     b_part = F.when(person, F.col("b_partial") != "").when(private, F.col("b_partial") == "").otherwise(F.lit(False))
+    initials = F.create_map(*[F.lit(x) for pair in INITIALS.items() for x in pair])
     nickname = (F.col("a_partial") == "nickname") & ~F.array_contains(F.split("b_role", " "), F.col("a_role"))
     fits = (
-        F.when(person & (F.col("a_partial") == "initial"), F.when(F.col("b_partial") == "initial", F.col("a_role") == F.col("b_role")).otherwise(F.substring("b_role", 1, 1) == F.col("a_role")))
+        F.when(person & (F.col("a_partial") == "initial"), F.when(F.col("b_partial") == "initial", F.col("a_role") == F.col("b_role")).otherwise(F.coalesce(initials[F.col("b_role")], F.substring("b_role", 1, 1)).contains(F.col("a_role")) & (F.col("a_role") != "")))
         .when(person & nickname, F.array_contains(F.split("a_role", " "), F.col("b_role")))
         .when(person, F.col("a_role") == F.col("b_role"))
         .when(private, (F.col("a_role") == F.col("b_role")) & (a_part | b_part | (F.col("a_partial") == F.col("b_partial"))))
@@ -428,6 +458,8 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     once = (F.least("a_n", "b_n") == 1) & (F.col("apart") < 2)
     both = both.filter(fits).withColumns({"a_part": a_part, "b_part": b_part})
     same_kind = both.filter((F.col("a_part") == F.col("b_part")) & better & ((F.col("agree") == 1) | once))
+    # Spellings seen once have no better known one among them: they are all tied to one another.
+    singles = both.filter((F.col("a_part") == F.col("b_part")) & once & (F.col("a_n") == 1) & (F.col("b_n") == 1)).select("a", "b")
     to_full = both.filter(F.col("a_part") & ~F.col("b_part") & ((F.col("apart") < 2) | (F.col("agree") == 1)))
     best = F.struct(F.col("agree"), -F.col("apart"), F.col("b_n"), F.col("b"))
     like = same_kind.groupBy("a").agg(F.max(best).alias("s")).select("a", F.col("s.b").alias("b"))
@@ -436,7 +468,7 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     top = graded.groupBy("a").agg(F.max("level").alias("top"))
     chosen = graded.join(top, "a").filter(F.col("level") == F.col("top")).groupBy("a").agg(F.count("*").alias("c"), F.max("b").alias("b")).filter("c = 1").select("a", "b")
     # One way only: a partial form that found its full form doesn't also lean on another partial one.
-    like = like.join(chosen.select("a"), "a", "left_anti")
+    like = like.unionAll(singles).join(chosen.select("a"), "a", "left_anti")
     parts = components(like.unionAll(chosen), "a", "b")
     return (
         shaped.join(parts, F.col("form") == F.col("node"), "left")
