@@ -432,13 +432,14 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     telling = mentions.groupBy("said").agg(F.count("*").alias("c")).filter(F.col("c") <= EVIDENCE_CASES).select("said")
     mine = mentions.select("id", "form", "field")
     other = mentions.join(telling, "said", "left_semi").select("id", "said", F.col("field").alias("of"))
-    evidence = mine.join(other, "id").filter("field != of").select("form", "said").distinct()
+    evidence = durable(mine.join(other, "id").filter("field != of").select("form", "said").distinct())
     agree = (
         near.select("a", "b").join(evidence.withColumnRenamed("form", "a"), "a").join(evidence.select(F.col("form").alias("b"), "said"), ["b", "said"]).select("a", "b").distinct().withColumn("agree", F.lit(1))
     )
     part = lambda p: nodes.select(F.col("form").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("field", "head", "role", "partial", "n")])
     pairs = near.join(part("a"), "a").join(part("b"), "b").join(agree, ["a", "b"], "left").fillna(0, ["agree"])
     turned = {c: "b" + c[1:] if c == "a" or c.startswith("a_") else "a" + c[1:] if c == "b" or c.startswith("b_") else c for c in pairs.columns}
+    pairs = durable(pairs)  # narrow, and read by every rule below
     both = pairs.unionByName(pairs.select(*[F.col(c).alias(turned[c]) for c in pairs.columns]))
     # x = a looks for a parent among the b.
     person = F.col("a_field") == "person_name"
@@ -469,7 +470,7 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     chosen = graded.join(top, "a").filter(F.col("level") == F.col("top")).groupBy("a").agg(F.count("*").alias("c"), F.max("b").alias("b")).filter("c = 1").select("a", "b")
     # One way only: a partial form that found its full form doesn't also lean on another partial one.
     like = like.unionAll(singles).join(chosen.select("a"), "a", "left_anti")
-    parts = components(like.unionAll(chosen), "a", "b")
+    parts = components(durable(like.unionAll(chosen)), "a", "b")
     return (
         shaped.join(parts, F.col("form") == F.col("node"), "left")
         .select(F.col("field").alias("field_name"), "name", F.coalesce("component", "form").alias("cluster"), "n")
