@@ -87,6 +87,15 @@ def _parts(value: Column, day_first: Column) -> Column:
     return F.coalesce(*cascade)
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each evaluated once.
+
+    They come out of a one-row generator, which the optimizer doesn't look through: a filter on a
+    result can't be rewritten into the whole nested expression, which grows with every level.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> DataFrame:
     """Add struct ``out`` (day, instant, timed) for the string column ``value``.
 
@@ -99,7 +108,7 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
     t = "__ts_"
     v = F.lower(strip_blanks(F.regexp_replace(F.col(value), r"[\u00a0\u2009\u202f]", " ")))
     df = df.withColumn(t + "v", v)
-    df = df.withColumn(t + "p", _parts(F.col(t + "v"), F.col(day_first)))
+    df = _settled(df, **{t + "p": _parts(F.col(t + "v"), F.col(day_first))})
     p = F.col(t + "p")
     hour = F.expr(f"try_cast({t}p.hh AS INT)")
     hour = F.when(p["half"] == "", hour).when(hour.between(1, 12), hour % 12 + F.when(p["half"] == "p", 12).otherwise(0))
@@ -119,14 +128,15 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
         ),
     )
     epoch = F.col(t + "v").rlike(r"^(?:\d{10}|\d{13}|\d{16})$")
-    df = df.withColumns(
-        {
+    df = _settled(
+        df,
+        **{
             t + "day": day,
             t + "timed": F.coalesce(timed, epoch, F.lit(False)),
             t + "local": F.when(timed & sound & day.isNotNull(), F.unix_timestamp(day.cast("timestamp")) + hour * 3600 + minute * 60 + second),
             t + "offset": F.when(p["zone"] != "", F.coalesce(offset, F.lit(9999))),
             t + "epoch": F.when(epoch, F.expr(f"try_cast(left({t}v, 10) AS BIGINT)")),
-        }
+        },
     )
     # Seconds since 1970 are read as UTC wall clocks here; the session runs in UTC.
     local, where = F.timestamp_seconds(F.col(t + "local")), F.col(zone)
@@ -135,11 +145,12 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
     fits = lambda u: F.from_utc_timestamp(u, where) == local
     # The zone rules give one instant; a second one, if any, lies one clock change away.
     others = [F.when(fits(shifted(m)), shifted(m)) for m in (-120, -60, -30, 30, 60, 120)]
-    df = df.withColumns(
-        {
+    df = _settled(
+        df,
+        **{
             t + "a": F.when(F.col(t + "offset").isNull() & where.isNotNull() & fits(early), early),
             t + "b": F.when(F.col(t + "offset").isNull() & where.isNotNull() & fits(early), F.coalesce(*others)),
-        }
+        },
     )
     fixed = F.when(F.col(t + "offset").between(-1440, 1440), F.timestamp_seconds(F.col(t + "local") - F.col(t + "offset") * 60))
     absolute = F.coalesce(F.timestamp_seconds(F.col(t + "epoch")), fixed)
@@ -152,7 +163,7 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
         F.coalesce(absolute, F.when(b.isNull(), a)).alias("instant"),
         F.col(t + "timed").alias("timed"),
     )
-    return df.withColumn(out, result).drop(*[t + n for n in ("v", "p", "day", "timed", "local", "offset", "epoch", "a", "b")])
+    return _settled(df, **{out: result}).drop(*[t + n for n in ("v", "p", "day", "timed", "local", "offset", "epoch", "a", "b")])
 
 
 def host(url: Column) -> Column:
