@@ -5,19 +5,23 @@ compares how often texts of that language end there with how often they go on. C
 taken as they are, but a capitalised word is one symbol, every digit is the same symbol, and
 white space is a blank or a line break, so that invented names don't hide the context.
 
-1. The final contexts of all values are counted, by language and order (1 to 32 symbols), after
-   a sign or remnant of a cut (dots, "(more)", half an entity or tag) is taken off.
+1. The final contexts of all distinct values are counted, by language and order (1 to 32
+   symbols), after a sign or remnant of a cut (dots, "(more)", half an entity or tag) is taken
+   off. Copies of a text, and copies that differ only in that sign, count once: else a cut text
+   held twice would make its own cut a known ending.
 2. Contexts that end at least ``max(2, SHARE x values)`` values of a language are kept, so the
-   model has at most orders / SHARE rows per language, whatever the corpus. All texts are then
-   read whole and the places where a kept context stands in them are counted.
+   model has at most orders / SHARE rows per language, whatever the corpus. All distinct texts
+   are then read whole and the places where a kept context stands in them are counted.
 3. Each value is scored by the longest of its contexts the model holds: the log-odds of ending
    there against going on, with a threshold per language and column.
 
-Only counts per context are shuffled; texts never are.
+Final contexts travel under a digest of their text. Copies are collapsed within each task before
+the distinct texts are shuffled, once, for the places; then only counts per context are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.session import map_batches, table
+from broadsheet.session import durable, map_batches, table
 
 ORDERS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 SHARE = 1e-5
@@ -49,9 +53,14 @@ def symbols(text: str) -> str:
     return _BLANK.sub(lambda m: "\n" if "\n" in m[0] else " ", text)
 
 
+def bare_end(text: str) -> str:
+    """The last characters of a value without trailing white space and the remnant of a cut."""
+    return REMNANT.sub("", text.rstrip()[-2000:]).rstrip()
+
+
 def final_context(text: str) -> str:
     """The last symbols of a value without trailing white space and the remnant of a cut."""
-    text = REMNANT.sub("", text.rstrip()[-2000:]).rstrip()
+    text = bare_end(text)
     if len(text) > 600:  # far more raw characters than the longest context has symbols
         text = text[text.rfind("\n" if "\n" in text[-600:-500] else " ", 0, len(text) - 500) :]
         return symbols(text)[1:].rstrip()
@@ -93,13 +102,17 @@ def _language():
     return F.when(bare.isin("en", "fr"), bare).otherwise(F.lit("?"))
 
 
+def _finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Final context of each text and a digest of the text without the remnant of a cut."""
+    for pdf in batches:
+        digests = [hashlib.blake2b((t.rstrip()[:-2000] + bare_end(t)).encode("utf-8", "replace"), digest_size=16).digest() for t in pdf["text"]]
+        yield pd.DataFrame({"g": pdf["g"], "digest": digests, "context": [final_context(t)[-ORDERS[-1] :] for t in pdf["text"]]})
+
+
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(g, k, h) for g, t in zip(pdf["g"], pdf["text"], strict=True) for k, h in context_hashes(final_context(t))]
-        counted = pd.DataFrame(rows, columns=["g", "k", "h"]).value_counts().reset_index(name="n")
-        sizes = pdf["g"].value_counts()
-        total = pd.DataFrame({"g": sizes.index, "k": 0, "h": 0, "n": sizes.to_numpy()})
-        yield pd.concat([counted, total], ignore_index=True).astype({"k": "int32", "h": "int64", "n": "int64"})
+        rows = [(g, k, h) for g, c in zip(pdf["g"], pdf["context"], strict=True) for k, h in context_hashes(c)]
+        yield pd.DataFrame(rows, columns=["g", "k", "h"]).value_counts().reset_index(name="n").astype({"k": "int32", "h": "int64", "n": "int64"})
 
 
 class Model:
@@ -128,10 +141,11 @@ class Model:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Model of ``rows`` (g language class, text not empty)."""
-    counted = map_batches(rows, _ends, "g string, k int, h long, n long").groupBy("g", "k", "h").agg(F.sum("n").alias("n"))
-    sizes = counted.filter("k = 0").select("g", F.greatest(F.lit(2), F.ceil(F.col("n") * SHARE)).alias("least"))
-    kept = counted.filter("k > 0").join(F.broadcast(sizes), "g").filter("n >= least")  # sizes: one row per language
+    """Model of the distinct texts of ``rows`` (g language class, text not empty)."""
+    finals = durable(map_batches(rows, _finals, "g string, digest binary, context string").distinct())
+    sizes = finals.groupBy("g").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * SHARE)).alias("least"))
+    counted = map_batches(finals, _ends, "g string, k int, h long, n long").groupBy("g", "k", "h").agg(F.sum("n").alias("n"))
+    kept = counted.join(F.broadcast(sizes), "g").filter("n >= least")  # sizes: one row per language
     ends = {(r.g, r.k, r.h): r.n for r in kept.select("g", "k", "h", "n").collect()}  # at most orders / SHARE per language
     known = {k: np.array(sorted({h for _, kk, h in ends if kk == k}), np.int64) for k in ORDERS}
 
@@ -162,7 +176,7 @@ def fit(rows: DataFrame) -> Model:
                 if frames:
                     yield pd.concat(frames, ignore_index=True).astype({"k": "int32"})
 
-    counts = map_batches(rows, places, "g string, k int, h long, n long").groupBy("g", "k", "h").agg(F.sum("n").alias("n"))
+    counts = map_batches(rows.distinct(), places, "g string, k int, h long, n long").groupBy("g", "k", "h").agg(F.sum("n").alias("n"))
     total = {(r.g, r.k, r.h): r.n for r in counts.collect()}  # only kept contexts
     return Model([(g, k, h, n, total.get((g, k, h), n)) for (g, k, h), n in ends.items()])
 
@@ -172,7 +186,7 @@ def scored(rows: DataFrame, column: str = "text") -> DataFrame:
 
     rows: doc_id, ``column``, lang, source. Null, empty and blank texts were not cut (log_odds
     null); null or unknown languages use all languages together; a text under several ids
-    counts under each; repeated rows stay. Score equal to the threshold: not cut. An empty table
+    counts under each, but once in the model; repeated rows stay. Score equal to the threshold: not cut. An empty table
     gives an empty table; other columns are ignored.
     """
     rows = rows.select("doc_id", F.col(column).alias("text"), "source", _language().alias("g"))

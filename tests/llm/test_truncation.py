@@ -60,6 +60,20 @@ def test_cut_texts_are_found(spark):
     assert found >= 0.93 * len(cut) and wrong <= 0.05 * len(cut), (found, len(cut), wrong)
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_their_cut(spark):
+    whole = texts(600, seed=5)
+    rows = [(i, t, "en", "s0") for i, t in enumerate(whole)]
+    body = "The contract of Ann with Lee was worth $5.0 million and ran until June 2020. "
+    twice, often, signed = (body + x for x in ("A second inquiry looked into how the minister had reg", "Nobody on the board knew which of the tenders were subm", "The harbour authority then asked its lawyers to rev"))
+    rows += [(1000 + i, twice, "en", "s1") for i in range(2)]
+    rows += [(2000 + i, often, "en", "s1") for i in range(80)]
+    rows += [(3000 + i, signed + x, "en", "s2") for i, x in enumerate(["", "...", " [...]", "&nbs", " "])]
+    rows += [(4000 + i, whole[0], "en", "s2") for i in range(50)]
+    got = {r.doc_id for r in truncation.scored(frame(spark, rows)).filter("truncated").collect()}
+    assert {1000, 1001} <= got and {2000 + i for i in range(80)} <= got and {3000 + i for i in range(5)} <= got
+    assert not got & {4000 + i for i in range(50)}
+
+
 def test_shares_and_empty(spark, tmp_path):
     rows = [(i, t, "en", "a" if i % 2 else "b") for i, t in enumerate(texts(300))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
