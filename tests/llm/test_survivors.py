@@ -1,5 +1,6 @@
 """Groups, survivors and fused values against plain Python."""
 
+import math
 import random
 
 from broadsheet.llm import components, survivors
@@ -80,6 +81,47 @@ def test_fusion_prefers_reliable_sources(spark):
     assert quality["one.test"].specificity > quality["three.test"].specificity
 
 
+def fit(claims, rounds):
+    """Plain expectation-maximisation: claims is {(group, value): outlets}; probabilities and qualities."""
+    speak = {}
+    for (g, _), who in claims.items():
+        speak.setdefault(g, set()).update(who)
+    q = {s: (0.7, 0.9) for who in claims.values() for s in who}
+    for _ in range(rounds):
+        p = {k: 1 / (1 + math.exp(-sum(math.log(q[s][0] / (1 - q[s][1])) if s in who else math.log((1 - q[s][0]) / q[s][1]) for s in speak[k[0]]))) for k, who in claims.items()}
+        new = {}
+        for s in q:
+            tp, fp = (sum(x(p[k]) for k, who in claims.items() if s in who) for x in (lambda v: v, lambda v: 1 - v))
+            t, u = (sum(x(p[k]) for k in claims if s in speak[k[0]]) for x in (lambda v: v, lambda v: 1 - v))
+            new[s] = ((tp + 8) / (t + 12), 1 - (fp + 1) / (u + 10))
+        moved, q = max(abs(a - b) for s in q for a, b in zip(q[s], new[s], strict=True)), new
+    return p, q, moved
+
+
+def test_quality_converges(spark):
+    rng = random.Random(8)
+    state, stories, claims = [], [], {}
+    for k in range(120):
+        for n, d in enumerate(rng.sample("abcdefg", rng.randint(2, 5))):
+            state.append(("t", f"{k}_{n}", "ok", f"{k}_0" if n else None))
+            media = "Right" if rng.random() < 0.9 - 0.12 * "abcdefg".index(d) else f"Wrong {rng.randrange(2)}"
+            stories.append(story(f"{k}_{n}", None, None, d, media, None, None, None, None))
+            claims.setdefault((k, media), set()).add(d)
+    members = survivors.described(survivors.group_members(frames(spark, state, stories)[0]), *frames(spark, state, stories)[1:])
+    facts, quality = survivors.judge(members)
+    got = {r.source: (r.sensitivity, r.specificity) for r in quality.collect()}
+    p, want, moved = fit(claims, 400)
+    early = fit(claims, 3)[1]
+    off = lambda x: max(abs(a - b) for s in want for a, b in zip(x[s], want[s], strict=True))
+    assert moved < 1e-9 and got.keys() == want.keys()
+    joined = {r.source: (r.sensitivity, r.specificity) for r in survivors.judge(members, 2, few=0)[1].collect()}
+    two = fit(claims, 2)[1]
+    assert max(abs(a - b) for s in two for a, b in zip(joined[s], two[s], strict=True)) < 1e-9
+    assert off(early) > 0.02 and off(got) < 0.005, (off(early), off(got))
+    held = sorted((r.value, r.p) for r in facts.collect())
+    assert len(held) == len(claims) and all(v == w and abs(x - y) < 0.05 for (v, x), (w, y) in zip(held, sorted((k[1], x) for k, x in p.items()), strict=True))
+
+
 def test_empty(spark):
     assert survivors.best_representatives(*frames(spark, [], [])).count() == 0
     assert survivors.best_representatives(*frames(spark, [("t", "a", "ok", "b"), ("t", "b", "dup", None)], [])).select("story_id").first()[0] == "a"
