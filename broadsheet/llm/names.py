@@ -6,17 +6,21 @@ only partly known (an initial, a nickname of several names, a missing suffix). T
 accents, punctuation, abbreviations, nicknames and the order of the parts are settled here.
 
 Heads are then joined by tries. A pair within one edit (insertion, deletion, substitution or
-swap of neighbours) agrees on a prefix or a suffix of half its length, so heads are sharded by
-field, role and that piece; each shard is a trie of the rest of its heads, which a Levenshtein
-automaton traverses for every head. A shard beyond ``SHARD`` heads is cut into blocks, and every
+swap of neighbours) agrees on a prefix or a suffix of half its length, or, where it is short, on
+what is left after one letter of either is taken out, so heads are sharded by field, role and
+that piece; each shard is a trie of the rest of its heads, which a Levenshtein automaton
+traverses for every head. A shard beyond ``SHARD`` heads is cut into blocks, and every
 block of queries meets every block of tries in a task of its own, so no task holds more than
-two blocks and no pair is lost. Heads of several words are compared in every order of words.
-
-Neighbours become links by rules: a spelling seen once joins the nearest better known one; two
-well known spellings, or two that differ by a consonant between vowels, stay apart unless other
-fields of their cases agree; a partly known role
-joins the one full form it fits, or the one whose cases agree. Clusters are the connected
-components; pairs of cases are formed from pairs of differing strings only.
+two blocks and no pair is lost. Heads of up to three words are compared in every order of words,
+longer ones also as the sorted words with one left out, whose left-out words are compared.
+
+Neighbours become links by rules: a spelling seen once, or far less often than its neighbour,
+joins the nearest better known one; two well known spellings, two that differ by a consonant
+between vowels, and two very short ones stay apart unless other fields of their cases agree; a partly
+known role joins the one full form it fits, or the one whose cases agree. How often a spelling is
+seen is counted in records that differ in some name, so copies of a case don't count, and cases
+agree if their other names coincide more often than names of that share would by chance.
+Clusters are the connected components; pairs of cases are formed from pairs of differing strings.
 """
 
 from __future__ import annotations
@@ -34,12 +38,18 @@ from pyspark.sql import functions as F
 from broadsheet.llm.components import components
 from broadsheet.session import durable, filled, map_batches, strip_blanks, table
 
+#: Heads of up to so many words are compared in every order of them.
+ORDERED = 3
 FIELDS = ("person_name", "private_org", "public_org")
 SHARD = 20_000
 #: A token is a known given name if it stands in that many names, mostly where given names stand.
 GIVEN_LEAST, GIVEN_SHARE, SLIP = 5, 2e-4, 8
-#: What more cases than this share tells nothing about who is meant.
-EVIDENCE_CASES = 60
+#: A spelling so many times rarer than its neighbour is a slip that several made.
+RARER = 8
+#: Cases agree if so many coincidences of their other names have a chance under exp(-AGREEMENT).
+AGREEMENT = 3.0
+#: Two heads that both have fewer letters need agreeing cases to be linked.
+SHORT = 5
 
 TITLES = set("mr mrs ms mx miss dr prof professor hon honourable me maitre sir madam mme m mlle rev sen jr sr".split()) - {"m"}
 # Short forms of given names; several full names make the short form ambiguous.
@@ -169,12 +179,25 @@ class Trie:
 
 
 def pieces(head: str) -> list[tuple[int, str, str]]:
-    """(length, side, piece): two heads within one edit share one of these."""
+    """(length, side, piece): two heads within one edit share one of these.
+
+    Sides are prefix, suffix, what a short head is with a letter left out, and the sorted words
+    of a long name with one left out (there for a left-out word within one edit).
+    """
     out = set()
     for size in {len(head), len(head) - 1}:
-        k = max(0, (size - 2) // 2)
-        out |= {(k, "p", head[:k]), (k, "s", head[len(head) - k :])}
-    return sorted(out)
+        if size < SHORT:
+            out |= {(0, "d", head)} | {(0, "d", head[:i] + head[i + 1 :]) for i in range(len(head))}
+        else:
+            k = (size - 2) // 2
+            out |= {(k, "p", head[:k]), (k, "s", head[len(head) - k :])}
+    return sorted(out | {(0, "w", rest) for rest, _ in _left_out(head)})
+
+
+def _left_out(head: str) -> list[tuple[str, str]]:
+    """(sorted words without one, that one) of a head of more words than are put in every order."""
+    words = head.split(" ")
+    return [(" ".join(sorted(words[:i] + words[i + 1 :])), w) for i, w in enumerate(words)] if len(words) > ORDERED else []
 
 
 # ------------------------------------------------------------------ forms
@@ -288,7 +311,7 @@ def given_names(names: DataFrame) -> set[str]:
 
 
 def forms(names: DataFrame) -> DataFrame:
-    """names (field, name, n) with head, role and partial; names without any word are left out."""
+    """names (field, name, n, records) with head, role and partial; names without any word are left out."""
     seen = given_names(names)
     given = seen | {x for v in NICKNAMES.values() for x in v.split()}
     trie = Trie(sorted(given | {n for n in NICKNAMES if len(n) > 2} | {as_read(g) for g in seen}))
@@ -302,7 +325,7 @@ def forms(names: DataFrame) -> DataFrame:
             pdf[["head", "role", "partial"]] = pd.DataFrame(made, index=pdf.index, columns=["head", "role", "partial"], dtype="object")
             yield pdf
 
-    return map_batches(names, shape, "field string, name string, n long, head string, role string, partial string").filter(F.col("head").isNotNull())
+    return map_batches(names, shape, "field string, name string, n long, records long, head string, role string, partial string").filter(F.col("head").isNotNull())
 
 
 # ------------------------------------------------------------------ trie join
@@ -330,35 +353,39 @@ def _to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _orders(head: str) -> set[str]:
-    """The head in every order of its words, as written and as a scan may have read it."""
-    return {" ".join(p) for h in {head, as_read(head)} for p in permutations(h.split())} if head.count(" ") <= 2 else {head, as_read(head)}
+    """The head in every order of its words (up to ``ORDERED``), as written and as a scan may have read it."""
+    return {" ".join(p) for h in {head, as_read(head)} for p in permutations(h.split())} if head.count(" ") < ORDERED else {head, as_read(head)}
+
+
+def _rests(head: str, side: str, piece: str) -> set[str]:
+    """What a head adds to the piece of a shard, in every order of its words that fits the piece."""
+    k = len(piece)
+    if side == "w":
+        return {w for h in {head, as_read(head)} for rest, w in _left_out(h) if rest == piece}
+    if side == "d":
+        return {h for h in _orders(head) if h == piece or (len(h) == k + 1 and within_one(h, piece))}
+    if side == "p":
+        return {h[k:] for h in _orders(head) if h.startswith(piece)}
+    return {h[: len(h) - k][::-1] for h in _orders(head) if h.endswith(piece)}
 
 
 def _join_shard(shard: str, queries: list[tuple[int, str]], index: list[tuple[int, str]]) -> set[tuple[int, int, int]]:
     """Pairs (a, b, apart) of forms, a < b, whose heads are within one edit in some order of their words."""
     side, piece = shard.rsplit("\u0001", 2)[1][-1], shard.rsplit("\u0001", 1)[1]
-    k = len(piece)
-    fits = (lambda h: h.startswith(piece)) if side == "p" else (lambda h: h.endswith(piece))
-    rest = (lambda h: h[k:]) if side == "p" else (lambda h: h[: len(h) - k][::-1])
-    by_head: dict[str, list[int]] = defaultdict(list)
+    whole = {"p": lambda r: piece + r, "s": lambda r: r[::-1] + piece}.get(side, lambda r: r)
+    held: dict[str, list[int]] = defaultdict(list)
     for form, head in index:
-        for order in _orders(head):
-            if fits(order):
-                by_head[order].append(form)
-    back = {rest(h): h for h in by_head}
-    trie = Trie(back)
+        for rest in _rests(head, side, piece):
+            held[rest].append(form)
+    trie = Trie(held)
     out = set()
     for form, head in queries:
-        for own in _orders(head):
-            if not fits(own):
-                continue
-            for near in trie.near(rest(own)):
-                other = back[near]
-                if len(own) < 5 and other != own:
-                    continue  # in very short heads one letter makes another name
-                for b in by_head[other]:
-                    if b != form:
-                        out.add((min(form, b), max(form, b), 0 if other == own else 1 + another_name(other, own)))
+        for rest in _rests(head, side, piece):
+            own = whole(rest)
+            for near in trie.near(rest):
+                other = whole(near)
+                apart = 0 if other == own else 3 if side != "w" and max(len(own), len(other)) < SHORT else 1 + another_name(other, own)
+                out |= {(min(form, b), max(form, b), apart) for b in held[near] if b != form}
     return out
 
 
@@ -388,7 +415,7 @@ def _join_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def neighbours(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     """(a, b, apart): pairs of forms under a common role key with heads at most one edit apart.
 
-    apart is 0 for equal heads, 2 where the edit makes :func:`another_name`, else 1.
+    apart is 0 for equal heads, 2 where the edit makes :func:`another_name`, 3 where both are very short, else 1.
     """
     placed = map_batches(nodes.select("form", "field", "head", "role", "partial"), _to_shards, "form long, head string, shard string").distinct()
     sizes = placed.groupBy("shard").agg(F.count("*").alias("size")).filter("size > 1")
@@ -411,31 +438,48 @@ def neighbours(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
 # ------------------------------------------------------------------ links
 
 
+def agreeing(near: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(a, b, agree = 1): pairs of forms whose records' other names coincide more often than by chance.
+
+    mentions: record, field, form, said (the head of the name). The expected coincidences of a and b
+    are the shares of what a's records say, summed, times b's records (or the other way round, if
+    that is less); the observed ones have at most the chance exp(expected - seen - seen *
+    ln(expected / seen)). Shares make the test the same at any size, so no name is too common to
+    be counted. A form with a third of all records meets its neighbours' names by joins on the name.
+    """
+    mentions = durable(mentions.distinct())
+    records = mentions.agg(F.count_distinct("record")).first()[0]
+    share = mentions.groupBy("said").agg((F.count_distinct("record") / F.lit(float(max(1, records)))).alias("share"))
+    mine = mentions.select("record", "form", "field")
+    other = mentions.select("record", "said", F.col("field").alias("of"))
+    wanted = near.select(F.col("a").alias("form")).unionAll(near.select(F.col("b").alias("form"))).distinct()
+    said = durable(mine.join(wanted, "form", "left_semi").join(other, "record").filter("field != of").select("form", "said").distinct().join(share, "said"))
+    known = said.groupBy("form").agg(F.sum("share").alias("mass")).join(mentions.select("form", "record").distinct().groupBy("form").agg(F.count("*").alias("records")), "form")
+    seen = near.select("a", "b").join(said.select(F.col("form").alias("a"), "said"), "a").join(said.select(F.col("form").alias("b"), "said"), ["b", "said"]).groupBy("a", "b").agg(F.count("*").alias("seen"))
+    side = lambda p: known.select(F.col("form").alias(p), F.col("mass").alias(f"mass_{p}"), F.col("records").alias(f"records_{p}"))
+    both = seen.join(side("a"), "a").join(side("b"), "b").withColumn("expected", F.least(F.col("mass_a") * F.col("records_b"), F.col("mass_b") * F.col("records_a")))
+    surprise = F.col("seen") * F.log(F.col("seen") / F.col("expected")) - F.col("seen") + F.col("expected")
+    return both.filter((F.col("seen") > F.col("expected")) & (surprise >= AGREEMENT)).select("a", "b", F.lit(1).alias("agree"))
+
+
 def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
     """(field_name, name, cluster, n): every distinct name of a field with the cluster it belongs to.
 
     cases: id, person_name, private_org, public_org. Nulls, blanks and words for no value are no
-    names; repeated rows count once; a name linked to nothing is a cluster of its own; a name
-    without any word is left out. Ties between equally good links go to the smaller form. An
+    names; repeated rows count once, and n counts cases, so copies of cases under other ids change n
+    but no link; a name linked to nothing is a cluster of its own; a name without any word is left out. Ties between equally good links go to the smaller form. An
     empty table gives an empty table; other columns are ignored.
     """
-    rows = cases.select("id", *FIELDS).distinct()
+    rows = cases.filter(F.col("id").isNotNull()).select("id", *FIELDS).distinct()
+    # Cases that say the same in all fields are one record with a count: copies neither make a spelling known nor agree with one another.
+    records = rows.groupBy(*FIELDS).agg(F.count("*").alias("n"))
     stack = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in FIELDS])
-    named = rows.select("id", F.inline(stack)).filter(F.col("id").isNotNull() & filled(F.col("name")))
-    shaped = durable(forms(named.groupBy("field", "name").agg(F.count("*").alias("n"))))
+    named = durable(records.select(F.xxhash64(*FIELDS).alias("record"), "n", F.inline(stack)).filter(filled(F.col("name"))))
+    shaped = durable(forms(named.groupBy("field", "name").agg(F.sum("n").alias("n"), F.count("*").alias("records"))))
     shaped = shaped.withColumn("form", F.xxhash64("field", "head", "role", "partial"))
-    nodes = durable(shaped.groupBy("form", "field", "head", "role", "partial").agg(F.sum("n").alias("n")))
+    nodes = durable(shaped.groupBy("form", "field", "head", "role", "partial").agg(F.sum("records").alias("n")))
     near = durable(neighbours(nodes, shard))
-
-    # What else the cases of a form say: the heads of their other fields.
-    mentions = named.join(shaped.select("field", "name", "form", "head"), ["field", "name"]).select("id", "field", "form", F.xxhash64("field", "head").alias("said"))
-    telling = mentions.groupBy("said").agg(F.count("*").alias("c")).filter(F.col("c") <= EVIDENCE_CASES).select("said")
-    mine = mentions.select("id", "form", "field")
-    other = mentions.join(telling, "said", "left_semi").select("id", "said", F.col("field").alias("of"))
-    evidence = durable(mine.join(other, "id").filter("field != of").select("form", "said").distinct())
-    agree = (
-        near.select("a", "b").join(evidence.withColumnRenamed("form", "a"), "a").join(evidence.select(F.col("form").alias("b"), "said"), ["b", "said"]).select("a", "b").distinct().withColumn("agree", F.lit(1))
-    )
+    agree = agreeing(near, named.join(shaped.select("field", "name", "form", "head"), ["field", "name"]).select("record", "field", "form", F.xxhash64("field", "head").alias("said")))
     part = lambda p: nodes.select(F.col("form").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("field", "head", "role", "partial", "n")])
     pairs = near.join(part("a"), "a").join(part("b"), "b").join(agree, ["a", "b"], "left").fillna(0, ["agree"])
     turned = {c: "b" + c[1:] if c == "a" or c.startswith("a_") else "a" + c[1:] if c == "b" or c.startswith("b_") else c for c in pairs.columns}
@@ -456,7 +500,7 @@ def link(cases: DataFrame, shard: int = SHARD) -> DataFrame:
         .otherwise(F.col("a_role") == F.col("b_role"))
     )
     better = F.struct("b_n", "b") > F.struct("a_n", "a")
-    once = (F.least("a_n", "b_n") == 1) & (F.col("apart") < 2)
+    once = ((F.least("a_n", "b_n") == 1) | (F.least("a_n", "b_n") * RARER <= F.greatest("a_n", "b_n"))) & (F.col("apart") < 2)
     both = both.filter(fits).withColumns({"a_part": a_part, "b_part": b_part})
     same_kind = both.filter((F.col("a_part") == F.col("b_part")) & better & ((F.col("agree") == 1) | once))
     # Spellings seen once have no better known one among them: they are all tied to one another.

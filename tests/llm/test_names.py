@@ -102,3 +102,28 @@ def test_known_names_that_resemble_each_other_stay_apart(spark):
     rows = [(i, n, None, None) for i, n in enumerate(["Priya Gokeber", "Gokeber, Priya", "PRIYA GOKEBER", "Priya Gomeber", "Gomeber, Priya", "P. Gokeber", "Priya Goseber"])]
     got = {(r.id_1, r.id_2) for r in names.linked_cases(frame(spark, rows)).collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (3, 4), (0, 5), (1, 5), (2, 5)}
+
+
+def test_near_heads_of_many_words_meet():
+    for a, b in (("alpha beta gamma delta", "alpha beta gamma edlta"), ("zeta beta gamma delta", "eta beta gamma delta")):
+        shared = {(side, piece) for _, side, piece in names.pieces(a)} & {(side, piece) for _, side, piece in names.pieces(b)}
+        assert any((1, 2, 1) in names._join_shard(f"f\u0001k\u00010{side}\u0001{piece}", [(1, a)], [(2, b)]) for side, piece in shared)
+
+
+def test_short_heads_need_agreeing_cases(spark):
+    rows = [(i, n, o, None) for i, (n, o) in enumerate([("Priya Khan", "Nealdent Construction LLP"), ("Priya Kahn", "Nealdent Constr. LLP"), ("Priya Wong", None), ("Priya Wnog", None)])]
+    rows += [(100 + i, f"Priya {x}{y}ealand", f"{y.title()}{x.lower()}ovel Paving", None) for i, (x, y) in enumerate((x, y + z) for x in ("Br", "Str", "M", "Gl", "Tw") for y in "aeiou" for z in "bdfghklm")]
+    got = {(r.id_1, r.id_2) for r in names.linked_cases(frame(spark, rows)).filter("field_name = 'person_name' AND id_2 < 100").collect()}
+    assert got == {(0, 1)}
+
+
+@pytest.mark.parametrize("times", [3, 20])
+def test_copies_of_cases_change_no_link(spark, data, times):
+    from pyspark.sql import functions as F
+
+    from broadsheet.session import table
+
+    cases = table(spark, data, "cases", ["id", *names.FIELDS])
+    copies = cases.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("id", F.col("id") + F.col("copy") * 1_000_000)
+    links = [{(r.field_name, r.name, r.cluster) for r in names.link(x).collect()} for x in (cases, copies)]
+    assert links[0] == links[1] and len({c for _, _, c in links[0]}) < len(links[0])
