@@ -23,13 +23,31 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
 
 
+def by_order(context):
+    return {k: int(h[0]) for k, fit, h in truncation.context_hashes([context]) if len(fit)}
+
+
 def test_windows_hash_alike_wherever_they_stand():
     a, b = "xx end of it all, said the man", "another text: no end of it all, said the man"
-    assert truncation.context_hashes(a)[-5:] == truncation.context_hashes(b)[-5:]
-    assert dict(truncation.context_hashes(a))[24] == dict(truncation.context_hashes(b))[24] and 32 not in dict(truncation.context_hashes(a))
-    codes = np.array([1, 2, 3, 1, 2, 3], np.uint32)
-    assert truncation.window_hashes(codes)[3][0] == truncation.window_hashes(codes)[3][3]
-    assert truncation.context_hashes("") == []
+    assert by_order(a)[24] == by_order(b)[24] and 32 not in by_order(a) and by_order(a)[16] != by_order(a)[12]
+    assert [by_order(c) for c in (a, b)] == [{k: int(h[list(fit).index(i)]) for k, fit, h in truncation.context_hashes([a, b]) if i in fit} for i in (0, 1)]
+    windows = truncation.Windows(np.array([1, 2, 3, 1, 2, 3], np.uint32))
+    assert windows.ending(np.array([2]), 3) == windows.ending(np.array([5]), 3) != windows.ending(np.array([3]), 3)
+    assert by_order("") == {}
+
+
+def test_threshold_lies_between_the_two_kinds():
+    whole, cut = np.zeros(truncation.BINS), np.zeros(truncation.BINS)
+    whole[400:420], cut[100:120] = 48, 10
+    whole[100:120] += 2  # one value in 25 was cut
+    at = (truncation.threshold(whole, cut) - truncation.NEVER) / truncation.WIDTH
+    assert 120 <= at <= 400
+    assert truncation.threshold(np.zeros(truncation.BINS), np.zeros(truncation.BINS)) is not None
+
+
+def test_bare_end_takes_off_several_remnants_and_keeps_the_rest():
+    assert truncation.bare_end("He met the bo... (more)  &#82") == "He met the bo"
+    assert truncation.bare_end("See (the annex)") == "See (the annex)" and truncation.bare_end("x" * 5000) == "x" * 2000
 
 
 @pytest.mark.parametrize("tail", ["...", "…", " [...]", " […]", " (more)", "&nbs", "&#82", "�", " ", "\n", "<stro"])
@@ -39,7 +57,7 @@ def test_remnants_are_taken_off(tail):
 
 def test_long_texts_end_like_short_ones():
     t = "word " * 5000 + "Ann Lee told the board that nobody knew"
-    assert truncation.final_context(t).endswith("A A told the board that nobody knew") and len(truncation.final_context(t)) > 40
+    assert truncation.final_context(t) == "A A told the board that nobody knew"[-truncation.ORDERS[-1] :]
 
 
 def test_cut_texts_are_found(spark):
