@@ -7,9 +7,10 @@ document, and whether it is the story's title. A bidirectional LSTM in numpy rea
 sequence, so each line is judged in the context of the document.
 
 The network is fitted on the driver on a bounded sample: at most ``sample`` documents, chosen by
-the hash of their id, labelled by the line kinds of :mod:`broadsheet.llm.lines`; lines
-the kinds don't label take part as context only. Every document is then read whole in the
-workers. The fit takes the same time for every size of the corpus and is deterministic.
+the hash of their id, labelled by how lines recur and where they stand
+(:mod:`broadsheet.llm.structure`), not by their wording; lines without a label take part as
+context only. Every document is then read whole in the workers. The fit takes the same time for
+every size of the corpus and is deterministic.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import residue
-from broadsheet.llm.lines import headline, kind, letters, squeeze
+from broadsheet.llm.lines import CLOSE, headline, letters, own_title, squeeze
+from broadsheet.llm.structure import labels as structural_labels
 from broadsheet.session import map_batches, table
 
 SAMPLE = 1500
@@ -40,7 +42,6 @@ _EXTRACTORS = ("trafilatura", "beautifulsoup", "readability-lxml")
 _ITEM = re.compile(r"(?:\d{4} ?: |\* |[-–] |• |\d+\) )")
 _POINT = re.compile(r"(?:[»›] |\d{1,2}\. )")
 _DIGIT = re.compile(r"\d")
-_CLOSE = tuple(".?!”\"»)")
 N_PATH = 26
 
 
@@ -102,7 +103,7 @@ def read(text: str, title: str | None, extractor: str | None) -> tuple[list[int]
     rows = []
     for i, line in enumerate(lines):
         size, first = len(line), line[0]
-        closed = line.endswith(_CLOSE)
+        closed = line.endswith(CLOSE)
         rows.append(
             (
                 1, log1p(size) / 5, size > 60, size > 120, closed, ": " in line or line[-1] == ":", "|" in line, "·" in line,
@@ -231,17 +232,11 @@ class Labeller:
         return self
 
 
-def weak_labels(lines: list[str], title: str | None) -> np.ndarray:
-    own = letters(title)
-    known = [kind(x, own) for x in lines]
-    return np.array([-1 if k is None else k for k in known], np.float32)
-
-
 def fit(rows: DataFrame, index: residue.Index, sample: int = SAMPLE) -> Labeller:
     """Labeller fitted on at most ``sample`` stories whose hashed id is small (a fixed bound), residue left out."""
     share = min(1.0, 2 * sample / max(1, index.documents))
     pick = rows.filter(F.pmod(F.xxhash64("story_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(6 * sample)
-    docs, labels, seen = [], [], set()
+    docs, pages, seen = [], [], set()
     for r in sorted(pick.collect(), key=lambda r: (zlib.crc32(r.story_id.encode()), r.story_id, r.text)):
         if r.story_id in seen or len(docs) >= sample or residue.is_residue(r.text, r.title, index):
             continue
@@ -249,8 +244,8 @@ def fit(rows: DataFrame, index: residue.Index, sample: int = SAMPLE) -> Labeller
         _, lines, tokens, path = read(r.text, r.title, r.extractor)
         if lines:
             docs.append((tokens, path))
-            labels.append(weak_labels(lines, r.title))
-    return Labeller().fit(docs, labels) if docs else Labeller()
+            pages.append((r.domain, r.media_name, r.title, lines))
+    return Labeller().fit(docs, structural_labels(pages)) if docs else Labeller()
 
 
 def label(model: Labeller, texts, titles, extractors, size: int = 192) -> list[list[tuple[int, float]]]:
@@ -265,54 +260,69 @@ def label(model: Labeller, texts, titles, extractors, size: int = 192) -> list[l
         for j, i in enumerate(chunk):
             numbers, lines = parsed[i][:2]
             # The exact check that follows: the story's own title is the article's whatever the network says.
-            out[i] = [(n, 0.0 if p > 0.5 and kind(x, owns[i]) == 0 and headline(x, owns[i]) else p) for n, x, p in zip(numbers, lines, y[: len(numbers), j].tolist(), strict=True)]
+            out[i] = [(n, 0.0 if p > 0.5 and own_title(x, owns[i]) else p) for n, x, p in zip(numbers, lines, y[: len(numbers), j].tolist(), strict=True)]
     return out
 
 
-def page_lines(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(story_id, line_no) of lines that are the page's own, stories with residue left out.
+COLUMNS = ("story_id", "title", "extractor", "text", "domain", "media_name")
 
-    rows: story_id, title, extractor, text. Residue is judged in the same pass, so no text is
-    shuffled; a story is left out if any of its texts is residue. Lines are split at line feeds
-    and numbered from 1, blank ones counted but never returned. Null and empty texts give no
-    lines, null titles and extractors are allowed, repeated rows give one result, texts of any
-    length are read whole, other columns are ignored; an empty table gives an empty table. A
-    line scoring exactly one half belongs to the article.
+
+def judged(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(story_id, text, lines, bad): page lines of each text, and whether it is residue.
+
+    rows: story_id, title, extractor, text; domain and media_name where there are any, for the
+    labels only. Texts are read once; they travel on only if a caller selects them.
     """
-    rows = rows.filter(F.col("text").isNotNull() & F.col("story_id").isNotNull()).select("story_id", "title", "extractor", "text")
-    index = residue.exemplar_index(rows)
-    model = fit(rows, index, sample)
+    given = rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
+    given = given.filter(F.col("text").isNotNull() & F.col("story_id").isNotNull())
+    index = residue.exemplar_index(given)
+    sent = given.sparkSession.sparkContext.broadcast((fit(given, index, sample), index))  # as large for every corpus, but for mined exemplars (see residue)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, index = sent.value
         for pdf in batches:
-            bad = np.array([residue.is_residue(x, t, index) for x, t in zip(pdf["text"], pdf["title"], strict=True)], bool)
-            yield pd.DataFrame({"story_id": pdf.loc[bad, "story_id"], "line_no": np.zeros(int(bad.sum()), np.int32)})
-            pdf = pdf.loc[~bad]
             for start in range(0, len(pdf), 2000):
                 part = pdf.iloc[start : start + 2000]
-                labels = label(model, part["text"], part["title"], part["extractor"])
-                hit = [(s, n) for s, x in zip(part["story_id"], labels, strict=True) for n, p in x if p > 0.5]
-                yield pd.DataFrame(hit, columns=["story_id", "line_no"]).astype({"line_no": "int32"})
+                bad = [residue.is_residue(x, t, index) for x, t in zip(part["text"], part["title"], strict=True)]
+                good = part.loc[[not b for b in bad]]
+                found = iter(label(model, good["text"], good["title"], good["extractor"]))
+                lines = [[] if b else [n for n, p in next(found) if p > 0.5] for b in bad]
+                yield part[["story_id", "text"]].assign(lines=lines, bad=bad)
+
+    return map_batches(given.select("story_id", "title", "extractor", "text"), judge, "story_id string, text string, lines array<int>, bad boolean")
 
-    marked = map_batches(rows, judge, "story_id string, line_no int")
-    by_story = marked.groupBy("story_id").agg(F.collect_set("line_no").alias("lines"))
+
+def page_lines(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(story_id, line_no) of lines that are the page's own, stories with residue left out.
+
+    rows: as for :func:`judged`. Residue is judged in the same pass, so no text is
+    shuffled; a story is left out if any of its texts is residue. Lines are split at line feeds
+    and numbered from 1, blank ones counted but never returned. Null and empty texts give no
+    lines, null titles, extractors and sites are allowed, repeated rows give one result, several
+    texts of a story give the lines of each, texts of any length are read whole, other columns are
+    ignored; an empty table gives an empty table. A line scoring exactly one half belongs to the
+    article.
+    """
+    marked = judged(rows, sample).select("story_id", F.when(F.col("bad"), F.array(F.lit(0))).otherwise(F.col("lines")).alias("lines"))
+    by_story = marked.groupBy("story_id").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
     return by_story.filter(~F.array_contains("lines", 0)).select("story_id", F.explode("lines").alias("line_no"))
 
 
 def bodies(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(story_id, text) with only the article's lines; rows of page_lines' input that aren't residue."""
-    drop = page_lines(rows, sample).groupBy("story_id").agg(F.collect_set("line_no").alias("drop"))
-    texts = rows.filter(F.col("text").isNotNull()).select("story_id", "text").distinct()
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("drop"), (i + 1).cast("int")) & (F.trim(line) != ""))
-    bad = residue.residue(rows)
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return texts.join(drop, "story_id", "left").join(bad, "story_id", "left_anti").select("story_id", text.alias("text"))
+    """(story_id, text) with only the article's lines, one row per distinct text of a story without residue.
+
+    Blank lines are dropped. Each text loses its own page lines, whatever a story's other texts hold.
+    """
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("lines", (i + 1).cast("int")) & line.rlike(r"\S"))
+    each = judged(rows, sample).select("story_id", "bad", F.when(~F.col("bad"), F.array_join(kept, "\n")).alias("text")).distinct()
+    bad = each.filter("bad").select("story_id").distinct()
+    return each.filter(~F.col("bad")).join(bad, "story_id", "left_anti").select("story_id", "text")
 
 
 def found(spark, root: str) -> DataFrame:
     """p6_found: the page's own lines, stories of p3_found left out."""
-    return page_lines(table(spark, root, "fetch_review", ["story_id", "title", "extractor", "text"]))
+    return page_lines(table(spark, root, "fetch_review", COLUMNS))
 
 
 def article_texts(spark, root: str) -> DataFrame:
-    return bodies(table(spark, root, "fetch_review", ["story_id", "title", "extractor", "text"]))
+    return bodies(table(spark, root, "fetch_review", COLUMNS))

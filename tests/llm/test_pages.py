@@ -1,12 +1,22 @@
 """Residue, line kinds and the recurrent labeller."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from broadsheet.llm import boilerplate, lines, residue
+from broadsheet.llm import boilerplate, lines, residue, structure
 
 ARTICLE = "Records reviewed for this story show 42 meetings between two firms and officials of the harbour authority. The contract ran until May 2019."
+NAMES = [a + b for a in ("Bar", "Cor", "Den", "Fal", "Gor", "Hul", "Mot", "Nas") for b in ("den", "lik", "mot", "nas", "pel", "rin", "sov", "tul")]
 PAGE = ["Skip to main content", "By Ann Lee, Staff Reporter", "Share this story on social media", "© 2024 The Herald. All rights reserved.", "Comments need JavaScript. Turn it on to take part.", "12. Donor named to board"]
+
+
+def article(i):
+    return f"{NAMES[i]} and {NAMES[i - 7]} told the board that {NAMES[i - 3].lower()} firms had met officials of the harbour authority. The contract ran until May 2019."
+
+
 TITLE = "Donor Smith named to the Harbour Authority board"
 
 RESIDUE = [
@@ -42,11 +52,53 @@ def test_page_kinds(line):
     assert lines.kind(lines.squeeze(line), lines.letters(TITLE)) == 1
 
 
-@pytest.mark.parametrize("line", [ARTICLE, TITLE, TITLE.upper() + " | The Herald", "The Smith file", "2015: Lee registers as a lobbyist", "- Ann Lee, director, until 2018", "• $70.5 million to Lee Ltd. for the study", "Share of the cost falls on Lee"])
+@pytest.mark.parametrize("line", [ARTICLE, TITLE, TITLE.upper() + " | The Herald"])
 def test_article_kinds(line):
     assert lines.kind(lines.squeeze(line), lines.letters(TITLE)) == 0
 
 
+@pytest.mark.parametrize("line", ["The Smith file", "2015: Lee registers as a lobbyist", "- Ann Lee, director, until 2018", "Related: " + TITLE])
+def test_lines_without_wording_or_shape_get_no_kind_as_articles(line):
+    assert lines.kind(lines.squeeze(line), lines.letters(TITLE)) != 0
+
+
+# Messages in wording of other sites, none of them an exemplar.
+UNSEEN = [
+    "We couldn't load this page. Check your connection and try again.", "Sorry, the page you were looking for is not here. It may have moved.", "Your browser does not support scripts. Please turn on JavaScript and reload this page.",
+    "You do not have permission to view this page on this server.", "The server encountered an error while processing your request. Please try again later.", "Please sign in to your account to continue reading this article.",
+    "Please complete the captcha to confirm you are not a robot.", "This site is down for scheduled maintenance. Please check back soon.", "The requested page could not be found on this server.", "This content is not available in your region.",
+    "Your account session expired. Please log in again to continue.", "The gateway did not receive a response from the upstream server.", "Your text goes here. This is placeholder text.", "Uncaught exception: undefined index on line 14",
+]
+
+
+def test_messages_in_other_words():
+    index = residue.Index(1000, {w: 900 for w in ("the", "to", "of", "a", "is", "in", "and", "on", "this", "you", "your", "not", "it")})
+    hits = [residue.is_residue(t, None, index) for t in UNSEEN]
+    assert sum(hits) >= 0.75 * len(UNSEEN), [t for t, h in zip(UNSEEN, hits, strict=True) if not h]
+    assert not any(residue.is_residue(t, TITLE, index) for t in ARTICLES)
+
+
+@pytest.mark.parametrize("family", sorted(set(residue.EXEMPLARS) - {"http"}))
+def test_messages_of_a_family_left_out_are_mined(spark, monkeypatch, family):
+    """A family the exemplars lack is found where its messages stand on several sites; short articles aren't."""
+    gone = [x for x in residue.EXEMPLARS[family] if len(x.split()) >= 4 and "'" not in x]
+    monkeypatch.setitem(residue.EXEMPLARS, family, ())
+    rows = [(f"m{i}-{j}", f"Donor number {chr(97 + j)} named to board {i}", x.capitalize() + ".", f"site{j}.example") for i, x in enumerate(gone) for j in range(6)]
+    rng = random.Random(3)
+    syllables = ("Bar", "Cor", "Den", "Fal", "Gor", "Hul", "Mot", "Nas")
+    said = (
+        "{} told the board that nobody had discussed the file before the vote.", "The contract of {} ran until the spring and was then renewed.", "Auditors counted the invoices of {} that carried no date.",
+        "The ethics office found that {} had waited too long in the matter.", "Residents learned of the deal with {} from a notice on a door in your town.", "A judge ordered the release of the letters of {} in full.",
+        "Critics say that {} has turned too often since the election is over.", "This is what {} and you could read in the minutes of the year.", "Nobody knows if {} will be back in time for the hearing.", "It was {} who asked for more, on the page that you have not seen.",
+    )
+    rows += [(f"a{i}", f"The story {i}", " ".join(x.format("".join(rng.sample(syllables, 2))) for x in rng.sample(said, 2 if i % 8 == 0 else 8)), f"site{i % 6}.example") for i in range(700)]
+    df = spark.createDataFrame(rows, "story_id string, title string, text string, domain string")
+    got = {r.story_id for r in residue.residue(df).collect()}
+    wanted = {r[0] for r in rows if r[0][0] == "m"}
+    assert len(got & wanted) >= 0.75 * len(wanted), sorted({rows[i][2] for i, r in enumerate(rows) if r[0] in wanted - got})
+    assert not got - wanted
+
+
 def test_gradients_against_differences():
     model = boilerplate.Labeller(seed=1)
     docs = [boilerplate.read(t, TITLE, "trafilatura")[2:] for t in ("\n".join(PAGE[:3] + [ARTICLE]), "\n".join([TITLE, ARTICLE]))]
@@ -73,27 +125,27 @@ def test_gradients_against_differences():
             assert abs((up - down) / 2e-2 - g[name][at]) < 2e-3 + 0.05 * abs(g[name][at]), name
 
 
-def test_held_out_accuracy(spark, data):
+def test_labels_without_wording_agree_with_the_wording(spark, data):
+    """The labels know no wording; the patterns of page lines, which they never see, are the held-out families."""
     from broadsheet.session import table
 
-    rows = [r for r in table(spark, data, "fetch_review", ["story_id", "title", "extractor", "text"]).filter("text IS NOT NULL").dropDuplicates(["story_id"]).orderBy("story_id").collect()]
+    rows = [r for r in table(spark, data.replace("sf0.001", "sf0.01"), "fetch_review", list(boilerplate.COLUMNS)).filter("text IS NOT NULL").dropDuplicates(["story_id"]).orderBy("story_id").collect()]
     index = residue.Index(len(rows), {})
     rows = [r for r in rows if not residue.is_residue(r.text, r.title, index)]
-    half = len(rows) // 2
     parsed = [boilerplate.read(r.text, r.title, r.extractor) for r in rows]
-    known = [boilerplate.weak_labels(p[1], r.title) for p, r in zip(parsed, rows, strict=True)]
-    model = boilerplate.Labeller().fit([p[2:] for p in parsed[:half]], known[:half], epochs=25)
-    right = total = 0
-    for p, k in zip(parsed[half:], known[half:], strict=True):
+    known = structure.labels([(r.domain, r.media_name, r.title, p[1]) for r, p in zip(rows, parsed, strict=True)], annotated=())
+    half = len(rows) // 2
+    model = boilerplate.Labeller().fit([p[2:] for p in parsed[:half]], known[:half], epochs=20)
+    right = Counter()
+    for r, p in zip(rows[half:], parsed[half:], strict=True):
         y, _ = model.scores([p[2:]])
-        on = k >= 0
-        right += int(((y[: len(k), 0] > 0.5) == (k > 0.5))[on].sum())
-        total += int(on.sum())
-    assert total > 200 and right / total > 0.95  # a few dozen pages to learn from; the full sample reaches 0.999
+        for x, v in zip(p[1], y[: len(p[1]), 0], strict=True):
+            right[lines.kind(x, lines.letters(r.title)), bool(v > 0.5)] += 1
+    assert right[1, True] >= 0.93 * (right[1, True] + right[1, False]) and right[0, False] >= 0.97 * (right[0, True] + right[0, False]), right
 
 
 def test_page_lines(spark):
-    rows = [(f"s{i}", TITLE, "\n".join([PAGE[i % 6], "", TITLE, "  ", ARTICLE, PAGE[(i + 1) % 6]]) + ("\r\n" if i % 3 else ""), ("trafilatura", None, "new")[i % 3]) for i in range(60)]
+    rows = [(f"s{i}", f"{TITLE} of {NAMES[i]}", "\n".join([PAGE[i % 6], "", f"{TITLE} of {NAMES[i]}", "  ", article(i), PAGE[(i + 1) % 6]]) + ("\r\n" if i % 3 else ""), ("trafilatura", None, "new")[i % 3]) for i in range(60)]
     rows += [("res", TITLE, RESIDUE[1], None), ("null", TITLE, None, None), ("empty", None, "", None), rows[0], ("long", TITLE, "\n".join([ARTICLE] * 3000), None), ("bars", None, "|\n***\n" + ARTICLE, None)]
     got = {(r.story_id, r.line_no) for r in boilerplate.page_lines(frame(spark, rows)).collect()}
     stories = {f"s{i}" for i in range(60)}
@@ -101,4 +153,12 @@ def test_page_lines(spark):
     assert not {"res", "null", "empty"} & {s for s, _ in got}
     assert boilerplate.page_lines(frame(spark, [])).count() == 0
     texts = {r.story_id: r.text for r in boilerplate.bodies(frame(spark, rows)).collect()}
-    assert texts["s0"] == f"{TITLE}\n{ARTICLE}" and "res" not in texts
+    assert texts["s0"] == f"{TITLE} of {NAMES[0]}\n{article(0)}" and "res" not in texts
+
+
+def test_each_text_of_a_story_loses_its_own_lines(spark):
+    own = [f"{TITLE} of {x}" for x in NAMES]
+    rows = [(f"s{i}", own[i], "\n".join([PAGE[i % 6], own[i], article(i), PAGE[(i + 1) % 6]]), "trafilatura") for i in range(60)]
+    rows.append(("s0", own[0], "\n".join([article(61), article(62), article(63)]), "trafilatura"))
+    texts = {r.text for r in boilerplate.bodies(frame(spark, rows)).filter("story_id = 's0'").collect()}
+    assert texts == {f"{own[0]}\n{article(0)}", rows[-1][2]}
