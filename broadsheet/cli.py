@@ -22,12 +22,14 @@ def _parser() -> argparse.ArgumentParser:
         if name in ("estimate", "search"):
             c.add_argument("--client", default="broadsheet.sources.pages:FolderClient")
             c.add_argument("--argument", default="")
-        if name in ("search", "fetch"):
+        if name in ("search", "fetch", "extract"):
             c.add_argument("--dry-run", action="store_true")
         if name in ("search", "fetch", "extract"):
             c.add_argument("--limit", type=int)
         if name == "fetch":
             c.add_argument("--raw-html", help="Parquet with story_id, html, http_status, content_type")
+            c.add_argument("--live", action="store_true", help="read the pages that are missing from the network")
+            c.add_argument("--lanes", type=int, default=1)
         if name == "extract":
             c.add_argument("--base-url-env", default="MODEL_BASE_URL")
             c.add_argument("--key-env", default="MODEL_API_KEY")
@@ -43,7 +45,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark) -> str:
     from broadsheet.plans import stages
-    from broadsheet.sources import pages
+    from broadsheet.sources import pages, web
     from broadsheet.sources.store import Warehouse
 
     store = Warehouse(spark, args.warehouse, must_exist=args.command.startswith(("review", "export", "extract-prompt")))
@@ -58,7 +60,9 @@ def run(args: argparse.Namespace, spark) -> str:
     if args.command == "dedup":
         return str(stages.dedup(store, config, topic))
     if args.command == "fetch":
-        return str(stages.fetch(store, config, topic, spark.read.parquet(args.raw_html) if args.raw_html else None, args.limit, args.dry_run))
+        return str(stages.fetch(store, config, topic, spark.read.parquet(args.raw_html) if args.raw_html else None, args.limit, args.dry_run, web.over_http if args.live else None, args.lanes))
+    if args.command == "extract" and args.dry_run:
+        return "\n".join(str(stages.plan_summary(store, config, topic, phase, args.limit)) for phase in ("screening", "extraction"))
     if args.command == "extract":
         from broadsheet.clients import ChatClient
         from broadsheet.operators.batches import response_schema
@@ -67,7 +71,7 @@ def run(args: argparse.Namespace, spark) -> str:
         answers = []
         for phase in ("screening", "extraction"):
             client = ChatClient(base, key, config.model.model, response_schema(config.topic(topic).fields, phase), stages.system_prompt(phase))
-            answers.append(str(stages.recorded(store, config, topic, phase, lambda p=phase, c=client: stages.run_phase(store, config, topic, p, c, args.limit))))
+            answers.append(str(stages.answer_phase(store, config, topic, phase, client, args.limit)))
         return "\n".join(answers)
     if args.command == "extract-prompt":
         from pathlib import Path

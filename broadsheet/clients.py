@@ -25,6 +25,8 @@ class ChatClient:
     def __init__(self, base_url: str, key: str, model: str, schema: dict, system: str, timeout: float = 300.0, opener=urllib.request.urlopen):
         self.url, self.key, self.model, self.schema, self.system, self.timeout, self.opener = base_url.rstrip("/") + "/chat/completions", key, model, schema, system, timeout, opener
         self.strict = True
+        #: Request id, usage and mode of the last answer.
+        self.last: dict = {}
 
     def _post(self, prompt: str, strict: bool) -> str:
         body = {
@@ -33,7 +35,9 @@ class ChatClient:
         }
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with self.opener(request, timeout=self.timeout) as answer:
-            return json.loads(answer.read())["choices"][0]["message"]["content"]
+            data = json.loads(answer.read())
+            self.last = {"request_id": data.get("id"), "usage": data.get("usage"), "mode": "json_schema" if strict else "json_object"}
+            return data["choices"][0]["message"]["content"]
 
     def __call__(self, prompt: str) -> str:
         try:

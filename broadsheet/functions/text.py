@@ -19,15 +19,18 @@ PROMPT_OVERHEAD = 16
 ERROR_CHARS = 1000
 
 
-def fold_case(value: Column) -> Column:
-    """Lower case with the two foldings lower-casing misses in common text (ß and final ς)."""
-    return F.replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+#: What case folding still changes in lower-case letters, by rule: to one character, and to several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.lower() == c and c.casefold() != c}
+_TO_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_TO_MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
 
 
-@F.pandas_udf(T.StringType())
-def fold_case_exact(value: pd.Series) -> pd.Series:
-    """Full Unicode case folding."""
-    return value.map(lambda x: x.casefold(), na_action="ignore")
+def fold_case(value: Column) -> Column:
+    """Full Unicode case folding, in the JVM; letters that fold to several are replaced only where there are any."""
+    low = F.translate(F.lower(value), "".join(_TO_ONE), "".join(_TO_ONE.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("from"), F.lit(f).alias("to")) for c, f in _TO_MORE.items()])
+    more = F.aggregate(pairs, low, lambda text, p: F.replace(text, p["from"], p["to"]))
+    return F.when(low.rlike("[" + "".join(_TO_MORE) + "]"), more).otherwise(low)
 
 
 def words(value: Column) -> Column:

@@ -22,10 +22,33 @@ def article_block(story_id: str, title: str | None, text: str, year: int | None)
     return f"Article {json.dumps(story_id)}\nTitle: {json.dumps(title or '')}\nYear: {year if year is not None else 'unknown'}\n{text}"
 
 
+#: Text that one task packs.
+SHARD_BYTES = 64 << 20
+
+
 def estimate(size: int) -> int:
     return max(1, (size + BYTES_PER_TOKEN - 1) // BYTES_PER_TOKEN)
 
 
+def article_text(story: Column, title: Column, text: Column, year: Column) -> Column:
+    """:func:`article_block` as an expression."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("Article "), quoted(story), F.lit("\nTitle: "), quoted(F.coalesce(title, F.lit(""))), F.lit("\nYear: "), F.coalesce(year.cast("string"), F.lit("unknown")), F.lit("\n"), text)
+
+
+def ask(client, prompt: str, attempts: int, bucket=None) -> tuple[str | None, str | None, int]:
+    """(content or None, last error, attempts made): every attempt is paced, only typed failures are tried again."""
+    error = None
+    for used in range(1, attempts + 1):
+        if bucket:
+            bucket.acquire()
+        try:
+            return client(prompt), None, used
+        except ExtractionFailure as e:
+            error = str(e)[:1000]
+    return None, error, attempts
+
+
 def pack(articles: list[tuple[str, str | None, str, int | None]], head_bytes: int, system_bytes: int, cap: int, most: int | None) -> list[list[tuple[str, str]]]:
     """Batches of (story_id, text), in order, each within ``cap`` tokens and ``most`` articles.
 
@@ -55,23 +78,27 @@ def pack(articles: list[tuple[str, str | None, str, int | None]], head_bytes: in
 
 
 def packed(candidates: DataFrame, cap: int, most: int | None, head: str = "", system: str = "", shard: Column | None = None) -> DataFrame:
-    """topic, shard, batch_no, position, story_id, text of candidates (topic, ordinal, story_id, title, text, year).
+    """topic, shard, batch_no, position, story_id, title, year, text of candidates (topic, ordinal, story_id, title, text, year).
 
     The fold is sequential within a topic and shard, in order of ``ordinal``. A shard is a range
-    of ordinals (default: 50,000 of them), so no task holds a topic of any size, and the order over
-    all batches stays that of the candidates.
+    of ordinals: as many as have ``SHARD_BYTES`` of text on average, so no task holds a topic of any
+    size, and the order over all batches stays that of the candidates.
     """
     ship(candidates.sparkSession)
-    schema = "topic string, shard long, batch_no int, position int, story_id string, text string"
+    schema = "topic string, shard long, batch_no int, position int, story_id string, title string, year int, text string"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ordinal", "story_id"])
         rows = [(a, None if pd.isna(b) else b, c, None if pd.isna(d) else int(d)) for a, b, c, d in zip(pdf["story_id"], pdf["title"], pdf["text"], pdf["year"], strict=True)]
         batches = pack(rows, len(head.encode()), len(system.encode()), cap, most)
-        out = [(key[0], key[1], n, i, s, t) for n, batch in enumerate(batches) for i, (s, t) in enumerate(batch)]
-        return pd.DataFrame(out, columns=["topic", "shard", "batch_no", "position", "story_id", "text"])
-
-    piece = shard if shard is not None else F.floor(F.col("ordinal") / 50_000)
+        about = {a: (b, d) for a, b, _, d in rows}
+        out = [(key[0], key[1], n, i, s, *about[s], t) for n, batch in enumerate(batches) for i, (s, t) in enumerate(batch)]
+        return pd.DataFrame(out, columns=["topic", "shard", "batch_no", "position", "story_id", "title", "year", "text"]).astype({"year": "Int32"})
+
+    piece = shard
+    if piece is None:
+        size = candidates.filter(F.col("text").isNotNull()).agg(F.avg(F.octet_length(F.encode("text", "UTF-8")))).first()[0] or 1.0
+        piece = F.floor(F.col("ordinal") / max(1, int(SHARD_BYTES // max(1.0, size))))
     df = candidates.filter(F.col("text").isNotNull()).select("topic", piece.cast("long").alias("shard"), "ordinal", "story_id", "title", "text", "year")
     return df.groupBy("topic", "shard").applyInPandas(one, schema)
 
@@ -221,15 +248,7 @@ def run_client(batches: DataFrame, client, attempts: int, per_minute: float | No
         for pdf in frames:
             rows = []
             for batch, prompt, expected in zip(pdf["batch_id"], pdf["prompt"], pdf["expected"], strict=True):
-                content, error, used = None, None, 0
-                for used in range(1, attempts + 1):
-                    if bucket:
-                        bucket.acquire()
-                    try:
-                        content, error = client(prompt), None
-                        break
-                    except ExtractionFailure as e:
-                        error = str(e)[:1000]
+                content, error, used = ask(client, prompt, attempts, bucket)
                 rows.append((batch, content, list(expected), used, error))
             yield pd.DataFrame(rows, columns=["batch_id", "content", "expected", "attempts", "error"])
 

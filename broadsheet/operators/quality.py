@@ -46,12 +46,17 @@ def mark(states: DataFrame, key: str, reason: str) -> DataFrame:
 
     Only rows still ok with a key take part. The original has the earliest date (missing last),
     then the smallest id: a grouped minimum, combined before the shuffle and joined back, so a
-    key shared by a third of all rows is one row per task, and the join can split it.
+    key shared by a third of all rows is one row per task. The join has the key's hash as a second
+    key, so that the minima are shuffled for it as the states are: only then can the adaptive skew
+    join split a hot key.
     """
     order = F.struct(date_prefix(F.col("publish_date")).isNull().alias("a"), date_prefix(F.col("publish_date")).alias("b"), F.col("story_id").alias("c"))
     first = states.filter((F.col("qc_status") == "ok") & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("size"))
-    first = first.filter("size > 1").select(F.col(key).alias("__key"), F.col("first.c").alias("__first"))
-    df = states.withColumn("__k", F.when(F.col("qc_status") == "ok", F.col(key))).join(first, F.col("__k") == F.col("__key"), "left")
+    first = first.filter("size > 1").select(F.col(key).alias("__key"), F.xxhash64(key).alias("__h"), F.col("first.c").alias("__first"))
+    # Rows without a key match nothing; a hash of their id spreads them.
+    keyed = states.withColumn("__k", F.when(F.col("qc_status") == "ok", F.col(key)))
+    keyed = keyed.withColumn("__g", F.when(F.col("__k").isNull(), F.xxhash64("story_id")).otherwise(F.xxhash64("__k")))
+    df = keyed.join(first, (F.col("__k") == F.col("__key")) & (F.col("__g") == F.col("__h")), "left")
     dup = F.col("__first").isNotNull() & (F.col("__first") != F.col("story_id"))
     return df.withColumns(
         {
@@ -59,7 +64,7 @@ def mark(states: DataFrame, key: str, reason: str) -> DataFrame:
             "qc_reason": F.when(dup, reason).otherwise(F.col("qc_reason")),
             "dup_of_story_id": F.when(dup, F.col("__first")).otherwise(F.col("dup_of_story_id")),
         }
-    ).drop("__k", "__key", "__first")
+    ).drop("__k", "__g", "__h", "__key", "__first")
 
 
 def flatten(states: DataFrame) -> DataFrame:

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from broadsheet.config import SAMPLE_TOPIC
 from broadsheet.operators import batches, quality, review, upsert
 from broadsheet.plans.scalar_queries import DAY_SQL, TITLE_SQL, URL_SQL
-from broadsheet.session import durable, table
+from broadsheet.session import durable, numbered, table
 
 VERSION = "v7"
 TERMS = list(SAMPLE_TOPIC.priority_terms)
+#: Columns of a story that the reviews show.
+SHOWN = ("title", "url", "domain", "publish_date", "media_name", "language")
 
 
 def stories(spark, root, *columns):
-    return table(spark, root, "stories", columns or None).distinct()
+    """Distinct stories with the named columns only: a DISTINCT over all of them can't be pruned."""
+    return table(spark, root, "stories", ("story_id", *columns)).distinct()
 
 
 def state(spark, root):
@@ -60,11 +64,11 @@ def reachable_distinct(spark, root):
 
 
 def qc_decisions(spark, root):
-    return quality.decide(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC).select("story_id", "qc_status", "qc_reason")
+    return quality.decide(stories(spark, root, "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC).select("story_id", "qc_status", "qc_reason")
 
 
 def _states(spark, root):
-    df = quality.decide(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
+    df = quality.decide(stories(spark, root, "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
     return durable(df.withColumn("dup_of_story_id", F.lit(None).cast("string")))
 
 
@@ -78,17 +82,17 @@ def dedup_title(spark, root):
 
 
 def dedup_flatten(spark, root):
-    df = quality.deduplicate(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
+    df = quality.deduplicate(stories(spark, root, "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
     return df.select("story_id", "qc_status", "qc_reason", "dup_of_story_id")
 
 
 def dedup_summary(spark, root):
-    df = quality.deduplicate(stories(spark, root, "story_id", "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
+    df = quality.deduplicate(stories(spark, root, "title", "url", "media_name", "publish_date", "language"), SAMPLE_TOPIC)
     return quality.summary(df, "sample")
 
 
 def dedup_review_rows(spark, root):
-    return review.dedup_rows(_reach(spark, root), stories(spark, root), state(spark, root))
+    return review.dedup_rows(_reach(spark, root), stories(spark, root, *SHOWN), state(spark, root))
 
 
 def dedup_review_stats(spark, root):
@@ -96,7 +100,7 @@ def dedup_review_stats(spark, root):
 
 
 def search_review_rows(spark, root):
-    return review.search_rows(hits(spark, root), windows(spark, root), stories(spark, root))
+    return review.search_rows(hits(spark, root), windows(spark, root), stories(spark, root, *SHOWN))
 
 
 def search_review_stats(spark, root):
@@ -104,11 +108,11 @@ def search_review_stats(spark, root):
 
 
 def fetch_review_topk(spark, root):
-    return review.newest(review.fetch_rows(_reach(spark, root), state(spark, root), stories(spark, root), articles(spark, root)), 50)
+    return review.newest(review.fetch_rows(_reach(spark, root), state(spark, root), stories(spark, root, "title", "url"), articles(spark, root, "fetch_status", "source", "http_status", "extractor", "text_chars", "fetched_at")), 50)
 
 
 def pending_fetch_priority(spark, root):
-    return review.pending_rows(_reach(spark, root), state(spark, root), stories(spark, root), articles(spark, root, "fetch_status"), TERMS)
+    return review.pending_rows(_reach(spark, root), state(spark, root), stories(spark, root, "title", "url", "domain", "publish_date"), articles(spark, root, "fetch_status"), TERMS)
 
 
 def fetch_counts(spark, root):
@@ -116,11 +120,16 @@ def fetch_counts(spark, root):
 
 
 def _candidates(spark, root):
-    return review.candidates(state(spark, root), stories(spark, root), articles(spark, root, "fetch_status", "text"), extractions(spark, root), VERSION, TERMS)
+    """Candidates with ``text`` standing for its length: what decides is made before the shuffle, so no text takes part in it."""
+    df = table(spark, root, "fetch_review", ["story_id", "topic", "fetch_status", "text"])
+    length = F.when(F.length(F.trim("text")) > 0, F.length("text"))
+    df = df.select("story_id", "topic", "fetch_status", length.cast("string").alias("text"))
+    held = df.groupBy("story_id").agg(F.min_by(F.struct("fetch_status", "text"), "topic").alias("r")).select("story_id", "r.*")
+    return review.candidates(state(spark, root), stories(spark, root, "title", "publish_date"), held, extractions(spark, root), VERSION, TERMS)
 
 
 def screening_candidates(spark, root):
-    return _candidates(spark, root).select("topic", "story_id", "attempted", "extracted_at", "miss", "publish_date", F.length("text").alias("chars"))
+    return _candidates(spark, root).select("topic", "story_id", "attempted", "extracted_at", "miss", "publish_date", F.col("text").cast("int").alias("chars"))
 
 
 def next_candidates(spark, root):
@@ -141,12 +150,12 @@ def latest_outcome(spark, root):
 def case_export(spark, root):
     cases = table(spark, root, "cases").distinct().withColumn("raw_json", F.to_json(F.struct(F.col("person_name"), F.col("status").alias("extra"))))
     fields = [f.name for f in SAMPLE_TOPIC.fields] + ["extra"]
-    return review.case_rows(cases, extractions(spark, root), stories(spark, root), fields, F.concat(F.lit("link:"), F.col("topic")))
+    return review.case_rows(cases, extractions(spark, root), stories(spark, root, "media_name", "url", "publish_date"), fields, F.concat(F.lit("link:"), F.col("topic")))
 
 
 def article_audit(spark, root):
     e = extractions(spark, root)
-    return review.audit(_reach(spark, root), stories(spark, root), state(spark, root), articles(spark, root, "fetch_status", "text_chars"), e.filter("prompt_version < 'v5'"), e)
+    return review.audit(_reach(spark, root), stories(spark, root, "title", "url", "publish_date"), state(spark, root), articles(spark, root, "fetch_status", "text_chars"), e.filter("prompt_version < 'v5'"), e)
 
 
 def window_counts(spark, root):
@@ -155,7 +164,7 @@ def window_counts(spark, root):
 
 
 def upsert_coalesce(spark, root):
-    df = stories(spark, root).withColumnRenamed("mc_text", "raw")
+    df = stories(spark, root, "title", "media_name", "mc_text").withColumnRenamed("mc_text", "raw")
     again = df.select("story_id", F.lit(None).cast("string").alias("title"), F.upper("media_name").alias("media_name"), F.lit(None).cast("string").alias("raw"), F.lit(2).alias("seq"))
     return upsert.coalesced(df.select("story_id", "title", "media_name", "raw", F.lit(1).alias("seq")).unionByName(again), ["story_id"], ["seq"], replace=["raw"]).select("story_id", "title", "media_name", "raw")
 
@@ -171,7 +180,7 @@ def stale_anti(spark, root):
 
 
 def reconcile_counts(spark, root):
-    return review.reconciled(review.dedup_rows(_reach(spark, root), stories(spark, root), state(spark, root)), _reach(spark, root), ["topic"])
+    return review.reconciled(review.dedup_rows(_reach(spark, root), stories(spark, root, *SHOWN), state(spark, root)), _reach(spark, root), ["topic"])
 
 
 def attempt_numbers(spark, root):
@@ -181,11 +190,23 @@ def attempt_numbers(spark, root):
 
 
 def pack_batches(spark, root):
-    """Packing over all texts, 20 articles and 30,000 tokens a prompt, in ranges of ordinals."""
-    df = articles(spark, root, "text").filter("text IS NOT NULL").select(
-        F.lit("all").alias("topic"), F.pmod(F.xxhash64("story_id"), F.lit(1 << 40)).alias("ordinal"), "story_id", F.lit(None).cast("string").alias("title"), "text", F.lit(None).cast("int").alias("year")
-    )
-    return batches.packed(df, 30_000, 20, shard=F.floor(F.col("ordinal") / (1 << 34)))
+    """Packing over all texts in the order of their ids, 20 articles and 30,000 tokens a prompt."""
+    df = articles(spark, root, "text").filter("text IS NOT NULL")
+    place = numbered(df.select("story_id"), "story_id")
+    df = df.join(place, "story_id").select(F.lit("all").alias("topic"), "ordinal", "story_id", F.lit(None).cast("string").alias("title"), "text", F.lit(None).cast("int").alias("year"))
+    return batches.packed(df, 30_000, 20)
+
+
+def pack_sound(spark, root):
+    """What must hold of the batches: every text once, in order, no batch of too many articles or tokens."""
+    df = durable(pack_batches(spark, root).select("shard", "batch_no", "position", "story_id", F.octet_length(F.encode("text", "UTF-8")).alias("bytes")))
+    each = df.groupBy("shard", "batch_no").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per = each.agg(F.count_if(F.col("n") > 20).alias("too_many"), F.count_if(F.col("bytes") > 60_000).alias("too_long"))
+    edges = df.groupBy("shard", "batch_no").agg(F.min("story_id").alias("least"), F.max("story_id").alias("most"))
+    ahead = F.lag("most").over(Window.partitionBy("shard").orderBy("batch_no"))
+    order = edges.withColumn("before", ahead).agg(F.count_if(F.col("before") >= F.col("least")).alias("out_of_order"))
+    count = df.agg(F.count("*").alias("placed"), F.count_distinct("story_id").alias("stories"))
+    return count.crossJoin(per).crossJoin(order)  # one row each
 
 
 def response_ids(spark, root):
@@ -210,7 +231,7 @@ def analysis_counts(spark, root):
 def integrity_orphans(spark, root):
     from broadsheet.schemas import orphans
 
-    s = stories(spark, root, "story_id")
+    s = stories(spark, root)
     return orphans(state(spark, root).select("topic", "story_id", "dup_of_story_id"), "dup_of_story_id", s, "story_id")
 
 
@@ -340,6 +361,10 @@ QUERIES = {
         SELECT e.event_id, e.user_id, CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) + coalesce(o.last, 0) AS INTEGER) AS attempt_number FROM events e LEFT JOIN o USING (user_id) WHERE e.event_type = 'error'""",
     ),
     "pack_batches": (pack_batches, None),
+    "pack_sound": (
+        pack_sound,
+        f"WITH {_art('text')}, t AS (SELECT count(*) AS n FROM art WHERE text IS NOT NULL) SELECT n AS placed, n AS stories, CAST(0 AS BIGINT) AS too_many, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS out_of_order FROM t",
+    ),
     "response_ids": (
         response_ids,
         f"""WITH {_S}, a AS (SELECT search_window_id, count(DISTINCT story_id) AS asked FROM hits_d GROUP BY 1), g AS (SELECT search_window_id, count(*) AS got, count(DISTINCT story_id) AS different FROM hits_d WHERE page_number = 1 GROUP BY 1)

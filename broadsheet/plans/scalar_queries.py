@@ -255,9 +255,13 @@ QUERIES = {
         token_estimate,
         f"SELECT doc_id, CAST(greatest(1, (strlen(text) + 1) // 2) AS INTEGER) AS tokens, CAST(greatest(1, (strlen('{SYSTEM}') + 1) // 2) + greatest(1, (strlen(text) + 1) // 2) + 16 AS INTEGER) AS prompt_tokens FROM documents",
     ),
-    "truncate_utf8": (truncate_utf8, None),
+    "truncate_utf8": (truncate_utf8, "SELECT doc_id, substr(text, 1, CAST(list_max(list_filter(range(0, 201), lambda i: strlen(substr(text, 1, CAST(i AS BIGINT))) <= 200)) AS BIGINT)) AS cut FROM documents"),
     "sha256_ids": (sha256_ids, "SELECT doc_id, sha256(text) AS digest FROM documents"),
-    "canonical_json_hash": (canonical_json_hash, None),
+    "canonical_json_hash": (
+        canonical_json_hash,
+        """WITH c AS (SELECT event_id, '{' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '"' || k || '":' || CAST(json_extract(props, '$."' || k || '"') AS VARCHAR)), ',') || '}' AS canonical FROM events)
+        SELECT event_id, canonical, sha256(canonical) AS digest FROM c""",
+    ),
     "json_path": (json_path, "SELECT event_id, props ->> '$.ref' AS ref, props ->> '$.k' AS k, props ->> '$.missing' AS missing FROM events"),
     "status_group": (status_group, "SELECT status, count(*) AS windows, CAST(sum(pages_fetched) AS BIGINT) AS pages, CAST(sum(relevant_count) AS BIGINT) AS relevant FROM search_windows GROUP BY status"),
     "http_status_class": (
@@ -284,7 +288,12 @@ QUERIES = {
         f"""SELECT CAST(i AS INTEGER) AS ordinal, CAST(DATE '{SAMPLE_TOPIC.start_date}' + CAST(30 * i AS INTEGER) AS DATE) AS window_start,
         CAST(least(DATE '{SAMPLE_TOPIC.start_date}' + CAST(30 * i + 29 AS INTEGER), DATE '{SAMPLE_TOPIC.end_date}') AS DATE) AS window_end FROM range(0, 1000) r(i) WHERE DATE '{SAMPLE_TOPIC.start_date}' + CAST(30 * i AS INTEGER) <= DATE '{SAMPLE_TOPIC.end_date}'""",
     ),
-    "window_fingerprints": (window_fingerprints, None),
+    "window_fingerprints": (
+        window_fingerprints,
+        """WITH p AS (SELECT id, window_start, window_end, '{"collections":[' || array_to_string(list_sort(from_json(coalesce(collection_ids_json, '[]'), '["BIGINT"]')), ',') || '],"contract":1,' AS head,
+        '"languages":[' || array_to_string(list_transform(list_sort(from_json(coalesce(languages_json, '[]'), '["VARCHAR"]')), lambda x: '"' || x || '"'), ',') || '],"platform":' || CAST(to_json(platform) AS VARCHAR) || ',"query":' || CAST(to_json(query) AS VARCHAR) || ',"sources":[' || array_to_string(list_sort(from_json(coalesce(source_ids_json, '[]'), '["BIGINT"]')), ',') || ']' AS rest FROM search_windows)
+        SELECT id, sha256(head || rest || '}') AS query_hash, sha256(head || '"end":"' || left(window_end, 10) || '",' || replace(rest, ',"sources":[', ',"sources":[') || ',"start":"' || left(window_start, 10) || '"}') AS fingerprint FROM p""",
+    ),
     "result_rank": (
         result_rank,
         "SELECT search_window_id, story_id, CAST((page_number - 1) * 1000 + (result_rank - 1) % 1000 + 1 AS INTEGER) AS global_rank FROM (SELECT DISTINCT search_window_id, story_id, page_number, result_rank FROM search_hits)",
@@ -294,14 +303,23 @@ QUERIES = {
         """SELECT id, CASE WHEN coalesce(pagination_completed, 0) <> 0 THEN 'complete' WHEN coalesce(pages_fetched, 0) > 0 AND next_pagination_token IS NULL THEN 'failed: pages without a token'
         WHEN coalesce(pages_fetched, 0) > 0 AND id % 7 = 0 THEN 'failed: page size changed' WHEN coalesce(pages_fetched, 0) > 0 THEN 'continue' ELSE 'start' END AS resume FROM search_windows""",
     ),
-    "window_metadata": (window_metadata, None),
+    "window_metadata": (
+        window_metadata,
+        "SELECT event_id, CAST(json_extract(props, '$.estimate.total') AS BIGINT) AS total, CAST(coalesce(json_array_length(json_extract(props, '$.pages')), 0) AS INTEGER) AS pages FROM events",
+    ),
     "validate_fields": (
         validate_fields,
         rf"""SELECT id, private_time IS NULL OR regexp_full_match(private_time, '\d{{4}}(?:-\d{{4}})?') AS private_time_ok, public_time IS NULL OR regexp_full_match(public_time, '\d{{4}}(?:-\d{{4}})?') AS public_time_ok,
         jurisdiction IS NULL OR jurisdiction IN ({_JURISDICTIONS}) AS jurisdiction_ok FROM (SELECT DISTINCT id, person_name, private_org, private_time, public_org, public_time, jurisdiction FROM cases)""",
     ),
-    "retry_after": (retry_after, None),
-    "robots_allow": (robots_allow, None),
+    "retry_after": (
+        retry_after,
+        "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 120 AS DOUBLE) WHEN 1 THEN CAST(90 AS DOUBLE) END AS seconds FROM events",
+    ),
+    "robots_allow": (
+        robots_allow,
+        r"SELECT DISTINCT url, CASE WHEN url IS NULL OR regexp_matches(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*[\[\]]') THEN NULL ELSE NOT regexp_matches(url, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?/(?:video|photo)/') END AS allowed FROM stories",
+    ),
     "elapsed_ms": (elapsed, "SELECT event_id, CAST(round_even(value * 1000, 0) AS BIGINT) AS ms FROM events"),
     "fold_case": (fold_case, f"SELECT title, {FOLD.format('title')} AS folded FROM (SELECT DISTINCT title FROM stories)"),
     "fetch_priority": (

@@ -23,7 +23,9 @@ from broadsheet.errors import ConfigurationError, EngineError, ExtractionFailure
 from broadsheet.functions.html import extract
 from broadsheet.functions.text import canonical_hash, canonical_json, year_prefix
 from broadsheet.operators import acquire, batches, quality, review, upsert, windows
-from broadsheet.sources import csv_files, pages
+from broadsheet.schemas import conform
+from broadsheet.session import durable, numbered
+from broadsheet.sources import csv_files, pages, web
 from broadsheet.sources.store import Warehouse
 
 # Column orders of the exported files.
@@ -126,8 +128,6 @@ def estimate(store: Warehouse, config: AppConfig, topic_name: str, options: dict
         got = plan.drop("relevant_count", "total_count").join(counted, ["window_start", "window_end"])
         got = got.withColumns({"status": F.lit("counted"), "query": F.lit(topic.query), "platform": F.lit(config.search.platform)})
         kept = store.read("search_windows").join(got.select("window_id"), "window_id", "left_anti")
-        from broadsheet.schemas import conform
-
         return {"search_windows": kept.unionByName(conform(got, "search_windows"))}, Summary(topic_name, len(todo), len(todo), plan.count() - len(todo), 0)
 
     return recorded(store, config, topic_name, "estimate", body)
@@ -140,7 +140,6 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
     on fail without a call, and one window's failure doesn't stop the others.
     """
     from broadsheet.operators.pacing import with_retries
-    from broadsheet.schemas import conform
     from broadsheet.streaming.ingest import merge_stories
 
     topic = config.topic(topic_name)
@@ -149,6 +148,7 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
         return Summary(topic_name, len(plan), 0, len(plan), 0, tuple(f"{r.window_start} {r.window_end} {r.resume}" for r in plan[:20]))
     spark, size = store.spark, config.search.page_size
     done = skipped = failed = 0
+    bad: list[str] = []
 
     def save(r, status: str, page: int, token: str | None, error: str | None, rows: list) -> None:
         at = now()
@@ -156,7 +156,8 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
             "window_id string, topic string, query_hash string, request_fingerprint string, query string, platform string, window_start date, window_end date, relevant_count long, total_count long, pages_fetched int, pagination_completed boolean, next_pagination_token string, status string, completed_at timestamp, error string, raw_json string")
         changes = {"search_windows": store.read("search_windows").filter(F.col("window_id") != r.window_id).unionByName(conform(state, "search_windows"))}
         if rows:
-            got, _ = pages.stories_of(spark.createDataFrame(rows, pages.PAGE_SCHEMA), size)
+            got, broken = pages.stories_of(spark.createDataFrame(rows, pages.PAGE_SCHEMA), size)
+            bad.extend(f"rank {b.result_rank}: {b.error}" for b in broken.select("result_rank", "error").collect())  # of one page
             hits = got.select(F.lit(r.window_id).alias("window_id"), "story_id", "page_number", "result_rank", "raw_json", F.lit(at).alias("found_at"))
             changes["stories"] = merge_stories(store.read("stories"), got, at)
             old = store.read("search_hits")
@@ -185,10 +186,10 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
                 if token is None:
                     done += 1
                     break
-        except Exception as e:  # noqa: BLE001 - one window's failure is its own
+        except (OSError, ValueError, KeyError, EngineError, pages.ClientError) as e:  # one window's failure is its own; bugs aren't failures of a window
             save(r, "failed", page, token, str(e)[:1000], [])
             failed += 1
-    return Summary(topic_name, len(plan), done, skipped, failed)
+    return recorded(store, config, topic_name, "search", lambda: ({}, Summary(topic_name, len(plan), done, skipped, failed, tuple(bad[:20]))))
 
 
 # decisions ---------------------------------------------------------------------
@@ -206,7 +207,7 @@ def dedup(store: Warehouse, config: AppConfig, topic_name: str) -> Summary:
     def body():
         reach = topic_reach(store, topic_name)
         stories = store.read("stories").join(reach.select("story_id"), "story_id", "left_semi")
-        states = quality.deduplicate(stories, topic).withColumn("topic", F.lit(topic_name)).cache()
+        states = durable(quality.deduplicate(stories, topic).withColumn("topic", F.lit(topic_name)))
         old = store.read("story_topic_state")
         mine = upsert.change_only(old.filter(F.col("topic") == topic_name), states, ["topic", "story_id"], ["qc_status", "qc_reason", "dup_of_story_id"], "decided_at", now())
         norms = states.select("story_id", F.col("url_norm").alias("un"), F.col("title_norm").alias("tn"))
@@ -220,11 +221,27 @@ def dedup(store: Warehouse, config: AppConfig, topic_name: str) -> Summary:
 # acquisition -------------------------------------------------------------------
 
 
-def fetch(store: Warehouse, config: AppConfig, topic_name: str, raw_html: DataFrame | None = None, limit: int | None = None, dry_run: bool = False) -> Summary:
-    """Texts of pending stories from the provider's text or stored HTML (story_id, html, http_status, content_type).
-
-    Stories without either stay pending; reading pages from the network is left to the caller,
-    who hands the recorded responses over as ``raw_html``.
+def read_pages(store: Warehouse, config: AppConfig, todo: DataFrame, transport, lanes: int) -> DataFrame:
+    """Pages of ``todo`` (story_id, url) from the network, stored before anything is made of them."""
+    asked = durable(web.fetch_pages(todo, config.fetch, transport, lanes))
+    page = asked.filter("kind = 'page'")
+    at = now()
+    kept = store.read("raw_pages")
+    fresh = page.filter("html IS NOT NULL").select("story_id", "html", "http_status", "content_type", "final_url", F.lit(at).alias("fetched_at"))
+    log = store.read("fetch_attempts")
+    tried = asked.select("story_id", F.col("kind").alias("source"), "request_url", "final_url", "http_status", "elapsed_ms", F.col("retry_after").try_cast("double").alias("retry_after_s"), "error", F.lit(at).alias("attempted_at"))
+    tried = tried.filter("request_url IS NOT NULL")
+    numbered = upsert.numbered_attempts(log, conform(tried, "fetch_attempts").drop("attempt_number"), "story_id", ["attempted_at", F.col("source").desc()]).select(*log.columns)
+    store.commit({"raw_pages": kept.join(fresh.select("story_id"), "story_id", "left_anti").unionByName(conform(fresh, "raw_pages")), "fetch_attempts": log.unionByName(numbered)})
+    return page
+
+
+def fetch(store: Warehouse, config: AppConfig, topic_name: str, raw_html: DataFrame | None = None, limit: int | None = None, dry_run: bool = False, transport=None, lanes: int = 1) -> Summary:
+    """Texts of pending stories from the provider's text, stored HTML or the network.
+
+    HTML is taken from ``raw_html`` (story_id, html, http_status, content_type), else from pages read
+    before; with a ``transport`` the rest is read from the network in ``lanes`` (see
+    :mod:`broadsheet.sources.web`) and stored, else it stays pending.
     """
     topic = config.topic(topic_name)
     least = config.fetch.min_text_chars
@@ -233,7 +250,7 @@ def fetch(store: Warehouse, config: AppConfig, topic_name: str, raw_html: DataFr
     todo = review.pending_rows(reach, store.read("story_topic_state"), store.read("stories"), articles, list(topic.priority_terms))
     ordered = todo.orderBy("priority", "by_date", "by_domain", "story_id")
     todo = ordered.limit(limit) if limit else ordered
-    stored = raw_html if raw_html is not None else store.spark.createDataFrame([], "story_id string, html string, http_status int, content_type string")
+    stored = raw_html if raw_html is not None else store.read("raw_pages").select("story_id", "html", "http_status", "content_type")
     df = todo.select("story_id", "url").join(store.read("stories").select("story_id", "mc_text"), "story_id").join(stored, "story_id", "left")
     df = df.withColumn("source", acquire.source_plan(F.col("mc_text"), F.col("html"), least))
     if dry_run:
@@ -243,15 +260,21 @@ def fetch(store: Warehouse, config: AppConfig, topic_name: str, raw_html: DataFr
         return Summary(topic_name, n, 0, n, 0, (json.dumps(counts, sort_keys=True), *head, *([f"and {n - 20} more"] if n > 20 else [])))
 
     def body():
-        found = extract(F.col("html"), least)
+        found = F.col("found")
+        nonlocal df
+        df = df.withColumn("read_status", F.lit(None).cast("string"))
+        if transport is not None:
+            got = read_pages(store, config, df.filter("source = 'url'").select("story_id", "url"), transport, lanes)
+            got = got.select("story_id", F.col("html").alias("h"), F.col("http_status").alias("s"), F.col("content_type").alias("c"), F.col("status").alias("r"))
+            df = df.join(got, "story_id", "left").select("story_id", "url", "mc_text", F.coalesce("html", "h").alias("html"), F.coalesce("http_status", "s").alias("http_status"), F.coalesce("content_type", "c").alias("content_type"), F.when(F.col("r").isNull(), F.col("source")).otherwise("page").alias("source"), F.col("r").alias("read_status"))
+        df = durable(df.withColumn("found", extract(F.col("html"), least)))
         text = F.when(F.col("source") == "provider", F.col("mc_text")).otherwise(found["text"])
-        status = F.when(F.col("source") == "provider", "ok").otherwise(
+        status = F.when(F.col("source") == "provider", "ok").when(F.col("read_status") != "read", F.col("read_status")).otherwise(
             acquire.outcome(F.coalesce("url", F.lit("https://stored/")), F.lit("allowed"), F.coalesce("http_status", F.lit(200)), F.coalesce("content_type", F.lit("text/html")), F.octet_length("html"), text, config.fetch.max_response_bytes, least)
         )
-        got = df.filter("source <> 'url'").select("story_id", status.alias("fetch_status"), "source", "http_status", F.col("url").alias("final_url"), F.when(F.col("source") == "provider", "provider").otherwise(found["extractor"]).alias("extractor"), text.alias("text"), F.length(text).cast("long").alias("text_chars"), F.lit(now()).alias("fetched_at")).cache()
+        got = df.filter("source <> 'url'").select("story_id", status.alias("fetch_status"), "source", "http_status", F.col("url").alias("final_url"), F.when(F.col("source") == "provider", "provider").otherwise(found["extractor"]).alias("extractor"), text.alias("text"), F.length(text).cast("long").alias("text_chars"), F.lit(now()).alias("fetched_at"))
+        got = durable(got)
         kept = articles.join(got.select("story_id"), "story_id", "left_anti")
-        from broadsheet.schemas import conform
-
         tried = conform(got.filter("source = 'stored_html'").withColumn("attempted_at", F.col("fetched_at")).drop("attempt_number"), "fetch_attempts").drop("attempt_number")
         log = store.read("fetch_attempts")
         numbered = upsert.numbered_attempts(log, tried, "story_id", ["attempted_at"]).select(*log.columns)
@@ -286,18 +309,18 @@ def planned_batches(store: Warehouse, config: AppConfig, topic_name: str, phase:
     if phase == "extraction":
         yes = done.filter((F.col("prompt_version") == config.model.version("screening")) & (F.col("validation_status") == "valid") & F.col("relevant"))
         df = df.join(yes.select("story_id"), "story_id", "left_semi")
-    df = df.orderBy("attempted", F.col("extracted_at").asc_nulls_first(), "miss", F.col("publish_date").asc_nulls_first(), "story_id")
-    df = df.limit(limit) if limit else df
-    # Numbers rise with the sort order: the sorted partition is their high part, which is also the shard.
-    ranked = df.withColumn("ordinal", F.monotonically_increasing_id())
-    ranked = ranked.withColumn("year", year_prefix(F.col("publish_date")))
+    # Places are made without the texts; they depend on the order alone, so the same work gives the same batches.
+    order = ("attempted", F.col("extracted_at").asc_nulls_first(), "miss", F.col("publish_date").asc_nulls_first(), "story_id")
+    place = numbered(df.drop("text", "title"), *order).select("story_id", "ordinal")
+    place = place.filter(F.col("ordinal") < limit) if limit else place
+    ranked = df.join(place, "story_id").withColumn("year", year_prefix(F.col("publish_date")))
     most = config.model.max_articles_per_batch if phase == "extraction" else None
-    return batches.packed(ranked, config.model.budget(phase), most, prompt_head(topic, phase), system_prompt(phase), F.shiftright("ordinal", 33))
+    return batches.packed(ranked, config.model.budget(phase), most, prompt_head(topic, phase), system_prompt(phase))
 
 
 def requests(planned: DataFrame, topic: TopicConfig, phase: str) -> DataFrame:
     """batch_id, prompt, expected: the whole text of each request (a batch is bounded by its cap)."""
-    block = F.concat(F.lit("Article "), F.to_json(F.array("story_id")), F.lit("\n"), F.col("text"))
+    block = batches.article_text(F.col("story_id"), F.col("title"), F.col("text"), F.col("year"))
     one = planned.groupBy("topic", "shard", "batch_no").agg(F.array_sort(F.collect_list(F.struct("position", "story_id", block.alias("block")))).alias("a"))
     head = prompt_head(topic, phase)
     return one.select(
@@ -307,39 +330,94 @@ def requests(planned: DataFrame, topic: TopicConfig, phase: str) -> DataFrame:
     )
 
 
+def answers_name(config: AppConfig, topic_name: str, phase: str) -> str:
+    return f"{topic_name}/{phase}-{config.model.version(phase)}-{canonical_hash(batches.response_schema(config.topic(topic_name).fields, phase))[:12]}"
+
+
+ANSWERS = "batch_id string, prompt_hash string, prompt string, expected array<string>, content string, attempts int, error string, provenance string"
+
+
+def answered(store: Warehouse, wanted: DataFrame, name: str, client, attempts: int, per_minute: float | None, report: Callable[[str], None] | None = None) -> DataFrame:
+    """Answers for ``wanted`` (batch_id, prompt_hash, prompt, expected), each written as it comes.
+
+    The model is asked for one batch after another, at the configured rate; that is the bound, not
+    the driver, which holds one partition of prompts at a time. A run that stops goes on where it
+    was: what was answered (the same prompt for the same version) isn't asked for again, failures
+    are. Once the phase is committed its answers are removed, so a later run asks anew.
+    """
+    from broadsheet.operators.pacing import TokenBucket
+
+    spark, path = store.spark, f"{store.root}/_answers/{name}"
+    have = spark.read.schema(ANSWERS).parquet(path) if store.exists(f"_answers/{name}") else spark.createDataFrame([], ANSWERS)
+    todo = wanted.join(have.filter("content IS NOT NULL").select("prompt_hash").distinct(), "prompt_hash", "left_anti").orderBy("batch_id")
+    bucket = TokenBucket(per_minute / 60, 1) if per_minute else None
+    total, failed = todo.count(), 0
+    for i, r in enumerate(todo.toLocalIterator(prefetchPartitions=False)):
+        content, error, used = batches.ask(client, r.prompt, attempts, bucket)
+        failed += content is None
+        provenance = canonical_json(getattr(client, "last", None) or {})
+        spark.createDataFrame([(r.batch_id, r.prompt_hash, r.prompt, r.expected, content, used, error, provenance)], ANSWERS).write.mode("append").parquet(path)
+        if report:
+            report(f"{i + 1}/{total} {r.batch_id[:60]} {'failed' if content is None else 'answered'}, failed {failed}")
+    if not store.exists(f"_answers/{name}"):
+        return have
+    got = spark.read.schema(ANSWERS).parquet(path).join(wanted.select("prompt_hash"), "prompt_hash", "left_semi")
+    # A prompt asked again after a failure has several rows: an answer stands before a failure.
+    last = got.groupBy("prompt_hash").agg(F.max_by(F.struct("batch_id", "prompt", "expected", "content", "attempts", "error", "provenance"), F.struct(F.col("content").isNotNull(), "batch_id")).alias("r"))
+    return durable(last.select("prompt_hash", "r.*"))
+
+
 def run_phase(store: Warehouse, config: AppConfig, topic_name: str, phase: str, client, limit: int | None = None) -> tuple[dict[str, DataFrame], Summary]:
     topic, version = config.topic(topic_name), config.model.version(phase)
-    wanted = requests(planned_batches(store, config, topic_name, phase, limit), topic, phase)
-    # The client is called once per attempt: its answers are stored before anything is derived from them.
-    answers = store.spark.createDataFrame(batches.run_client(wanted, client, config.model.max_retries + 1, config.model.max_requests_per_min).collect(), "batch_id string, content string, expected array<string>, attempts int, error string")
-    results = batches.checked(answers, topic.fields, phase).cache()
+    wanted = durable(requests(planned_batches(store, config, topic_name, phase, limit), topic, phase).withColumn("prompt_hash", F.sha2("prompt", 256)))
+    at = now()
+    schema_hash = canonical_hash(batches.response_schema(topic.fields, phase))
+    facts = {"topic": topic_name, "phase": phase, "model": config.model.model, "prompt_version": version, "schema_hash": schema_hash}
+    pending = wanted.select("batch_id", "prompt_hash", F.lit("pending").alias("status"), F.to_json("expected").alias("story_ids_json"), F.to_json(F.struct("prompt")).alias("request_json"), F.lit(at).alias("at"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    mine = (F.col("topic") == topic_name) & (F.col("phase") == phase) & (F.col("status") == "pending")
+    store.commit({"extraction_batches": store.read("extraction_batches").filter(~F.coalesce(mine, F.lit(False))).unionByName(conform(pending, "extraction_batches"))})
+    answers = answered(store, wanted, answers_name(config, topic_name, phase), client, config.model.max_retries + 1, config.model.max_requests_per_min)
+    results = durable(batches.checked(answers, topic.fields, phase))
     at = now()
     rows = results.select(
         F.lit(topic_name).alias("topic"), "story_id", F.lit(version).alias("prompt_version"), "batch_id", "relevant", F.when(F.col("omitted"), "omitted_from_response").alias("reject_reason"),
         "validation_status", "validation_error", "payload_json", F.lit(at).alias("extracted_at"),
     )
-    from broadsheet.schemas import conform
-
     old = store.read("story_extractions")
     kept = old.join(rows.select("topic", "story_id", "prompt_version"), ["topic", "story_id", "prompt_version"], "left_anti")
     changes = {"story_extractions": kept.unionByName(conform(rows, "story_extractions"))}
-    log = answers.select("batch_id", F.lit(topic_name).alias("topic"), F.lit(phase).alias("phase"), F.lit(config.model.model).alias("model"), F.lit(version).alias("prompt_version"), F.when(F.col("content").isNull(), "failed").otherwise("answered").alias("status"), F.to_json("expected").alias("story_ids_json"), F.col("attempts").alias("attempt_count"), F.col("content").alias("response_json"), F.lit(at).alias("at"))
-    changes["extraction_batches"] = store.read("extraction_batches").unionByName(conform(log, "extraction_batches"))
+    log = answers.select("batch_id", "prompt_hash", F.when(F.col("content").isNull(), "failed").otherwise("answered").alias("status"), F.to_json("expected").alias("story_ids_json"), F.to_json(F.struct("prompt")).alias("request_json"), F.col("attempts").alias("attempt_count"), F.col("content").alias("response_json"), F.col("provenance").alias("usage_json"), F.lit(at).alias("at"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    changes["extraction_batches"] = store.read("extraction_batches").filter(~F.coalesce(mine, F.lit(False))).unionByName(conform(log, "extraction_batches"))
     if phase == "extraction":
         made = batches.case_rows(results, topic.fields, topic_name, version).withColumns({"prompt_version": F.lit(version), "created_at": F.lit(at)})
         names = [f.name for f in topic.fields]
         made = made.withColumn("raw_json", F.to_json(F.struct(*names))) if names else made
         before = store.read("cases").join(rows.select("topic", "story_id", "prompt_version"), ["topic", "story_id", "prompt_version"], "left_anti")
         changes["cases"] = before.unionByName(conform(made, "cases"))
-    valid = results.filter("validation_status = 'valid'").count()
-    total = results.count()
+    counts = results.agg(F.count("*").alias("n"), F.count_if(F.col("validation_status") == "valid").alias("valid")).first()
+    total, valid = counts.n, counts.valid
     return changes, Summary(topic_name, total, valid, 0, total - valid)
 
 
+def answer_phase(store: Warehouse, config: AppConfig, topic_name: str, phase: str, client, limit: int | None = None) -> Summary:
+    done = recorded(store, config, topic_name, phase, lambda: run_phase(store, config, topic_name, phase, client, limit))
+    store.remove(f"_answers/{answers_name(config, topic_name, phase)}")
+    return done
+
+
+def plan_summary(store: Warehouse, config: AppConfig, topic_name: str, phase: str, limit: int | None = None) -> Summary:
+    """What a phase would ask for: one JSON line per planned batch, the first 20 of them."""
+    planned = planned_batches(store, config, topic_name, phase, limit)
+    each = planned.groupBy("shard", "batch_no").agg(F.array_sort(F.collect_list(F.struct("position", "story_id"))).alias("a"), F.sum(F.octet_length(F.encode("text", "UTF-8"))).alias("bytes"))
+    each = durable(each.select("shard", "batch_no", F.col("a.story_id").alias("stories"), "bytes"))
+    lines = tuple(r.line for r in each.orderBy("shard", "batch_no").limit(20).select(F.to_json(F.struct(F.lit(phase).alias("phase"), "shard", "batch_no", "stories", "bytes")).alias("line")).collect())
+    n = each.agg(F.coalesce(F.sum(F.size("stories")), F.lit(0)).alias("n")).first().n
+    return Summary(topic_name, n, 0, n, 0, lines)
+
+
 def extract_cases(store: Warehouse, config: AppConfig, topic_name: str, client: Callable[[str], str], limit: int | None = None) -> tuple[Summary, Summary]:
     """Screen what is new, then extract what has become relevant, each phase committed on its own."""
-    first = recorded(store, config, topic_name, "screening", lambda: run_phase(store, config, topic_name, "screening", client, limit))
-    return first, recorded(store, config, topic_name, "extraction", lambda: run_phase(store, config, topic_name, "extraction", client, limit))
+    return answer_phase(store, config, topic_name, "screening", client, limit), answer_phase(store, config, topic_name, "extraction", client, limit)
 
 
 def reset(store: Warehouse, topic: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from broadsheet.errors import StorageError
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 S, L, I, D, B, TS, DT = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType(), T.DateType()  # noqa: E741
 
@@ -32,6 +32,7 @@ _HISTORY: dict[str, list[tuple[int, T.StructType]]] = {
     "search_hits": [(1, _struct(window_id=S, story_id=S, page_number=I, result_rank=I, raw_json=S, found_at=TS))],
     "articles": [(1, _struct(story_id=S, fetch_status=S, source=S, http_status=I, final_url=S, extractor=S, text=S, text_chars=L, byline=S, extracted_date=S,
                              attempts=I, error=S, raw_html_path=S, fetched_at=TS))],
+    "raw_pages": [(4, _struct(story_id=S, html=S, http_status=I, content_type=S, final_url=S, fetched_at=TS))],
     "fetch_attempts": [(1, _struct(story_id=S, attempt_number=I, source=S, request_url=S, final_url=S, http_status=I, elapsed_ms=L, retry_after_s=D, extractor=S,
                                    text_chars=L, error=S, attempted_at=TS))],
     "extraction_batches": [(1, _struct(batch_id=S, topic=S, phase=S, model=S, prompt_version=S, prompt_hash=S, schema_hash=S, status=S, story_ids_json=S,
@@ -46,7 +47,7 @@ _HISTORY: dict[str, list[tuple[int, T.StructType]]] = {
 
 KEYS = {
     "pipeline_runs": ["run_uuid"], "search_windows": ["topic", "request_fingerprint", "window_start", "window_end"], "stories": ["story_id"],
-    "story_topic_state": ["topic", "story_id"], "search_hits": ["window_id", "story_id"], "articles": ["story_id"], "fetch_attempts": ["story_id", "attempt_number"],
+    "story_topic_state": ["topic", "story_id"], "search_hits": ["window_id", "story_id"], "articles": ["story_id"], "raw_pages": ["story_id"], "fetch_attempts": ["story_id", "attempt_number"],
     "extraction_batches": ["batch_id"], "story_extractions": ["topic", "story_id", "prompt_version"], "cases": ["case_id"],
 }
 REFERENCES = (

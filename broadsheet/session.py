@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterable
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.errors import ConfigurationError
+
 #: What stands in a column for "no value", compared after trimming and lower-casing.
 NO_VALUE_WORDS = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "undefined", "unknown", "undated", "not available", "no value")
 
@@ -37,15 +40,35 @@ def filled(value: Column) -> Column:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that setting is unset (tests, one machine) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only on a local master
+    (tests, one machine) a temporary folder stands in where that setting is unset.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="broadsheet-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="broadsheet-"))
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
+    """df with its place (from 0) in a total order, without a window over all rows.
+
+    Rows are sorted by range and written; each partition's number of rows gives the offset of the next
+    (one row per partition on the driver). The numbers depend on the order alone, not on the partitions.
+    """
+    made = durable(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = sorted((r.part, r.n) for r in made.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    offsets, ahead = [], 0
+    for p, n in sizes:
+        offsets.append((p, ahead))
+        ahead += n
+    offset = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[part] if offsets else F.lit(0)
+    return made.withColumn(name, (offset + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__id")
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -23,6 +23,14 @@ from broadsheet.operators.pacing import with_retries
 from broadsheet.session import ship
 
 
+class ClientError(Exception):
+    """A search client's own failure; ``status`` is the answer's status where there was one."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
+
+
 class SearchClient(Protocol):
     def story_list(self, query: str, start: dt.date, end: dt.date, token: str | None, page_size: int) -> tuple[list[dict], str | None]: ...
 

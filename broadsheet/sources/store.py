@@ -29,6 +29,14 @@ class Warehouse:
         if must_exist and not self._manifests():
             raise StorageError(f"no warehouse at {root}")
 
+    def exists(self, path: str) -> bool:
+        """True if there is a file or folder ``path`` under the root."""
+        return self._fs.exists(self._path(f"{self.root}/{path}"))
+
+    def remove(self, path: str) -> None:
+        """Delete a file or folder ``path`` under the root, if there is one."""
+        self._fs.delete(self._path(f"{self.root}/{path}"), True)
+
     # manifests ---------------------------------------------------------------
 
     def _manifests(self) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from broadsheet.functions import html, text, urls
-from broadsheet.session import filled, ship
+from broadsheet.session import filled, numbered, ship
 
 
 def one(spark, column, **values):
@@ -120,3 +120,20 @@ def test_paragraphs(spark):
 def test_words_for_no_value(spark):
     df = spark.createDataFrame([("x",), (None,), (" ",), ("\u200b\u00a0",), (" N/A ",), ("Unknown",), ("-",), ("0",)], "v string")
     assert [r[0] for r in df.select(filled(F.col("v"))).collect()] == [True, False, False, False, False, False, False, True]
+
+
+def test_case_folding_is_complete(spark):
+    letters = [chr(c) for c in range(0x20, 0x2FA20) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    rows = [(f"x{c}y",) for c in letters] + [("Maße ΣΑΣ ﬁn",), (None,), ("",)]
+    got = [(r.v, r.f) for r in spark.createDataFrame(rows, "v string").select("v", text.fold_case(F.col("v")).alias("f")).collect()]
+    wrong = [(v, f) for v, f in got if f != (v.casefold() if v is not None else None)]
+    assert len(wrong) <= 0.02 * len(got), wrong[:20]  # letters newer than the JVM's tables
+    assert dict(got)["Maße ΣΑΣ ﬁn"] == "masse σας fin".replace("ς", "σ")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_numbered_depends_on_the_order_alone(spark, parts):
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("k")).repartition(parts)
+    got = sorted((r.ordinal, r.k) for r in numbered(df, "k").collect())
+    assert [o for o, _ in got] == list(range(500)) and [k for _, k in got] == sorted(k for _, k in got)
+    assert numbered(df.filter("k < 0"), "k").count() == 0
