@@ -1,8 +1,9 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (combined before the shuffle) and a join of the edges with
-those minima, so a hub with a third of all edges is one row on the joined side and its edges
-are split by the adaptive skew join. Nothing is collected but two counters per round.
+those minima, so a hub with a third of all edges is one row on the joined side. The join has
+the node's hash as a second key, so that the minima are shuffled for it as the edges are: only
+then can the adaptive skew join split a hub's edges. Nothing is collected but counters per round.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     if not larger_only:
         pairs = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    joined = pairs.join(least, "a")
+    joined = pairs.withColumn("hash", F.hash("a")).join(least.withColumn("hash", F.hash("a")), ["a", "hash"])
     if larger_only:
         out = joined.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))))
     else:

@@ -2,9 +2,9 @@
 
 Variable-capacity best fit: items come largest first; each goes to the open container with the
 least room that still takes it, else a container of the least costly size is opened; at the end
-every container shrinks to the smallest capacity that holds its contents. Which size to open by
-default is optimised jointly for all permitted sizes: every default is tried and the packing
-that needs the least capacity in all is kept.
+every container shrinks to the smallest capacity that holds its contents. Which size to open is optimised jointly for all permitted sizes: a policy has one size
+for large items and one for small ones, every pair of sizes is tried with every bound between
+them, and the packing that needs the least capacity in all is kept.
 
 Documents are dealt by hash into shards of about ``SHARD_TOKENS`` tokens, each packed in one
 task; a shard ends with at most a few open containers, so the room lost by sharding is a
@@ -23,8 +23,8 @@ from broadsheet.session import durable, ship, table
 SHARD_TOKENS = 3_000_000
 
 
-def _fit(sizes: list[int], capacities: list[int], default: int) -> tuple[list[int], list[int]]:
-    """(bin of each item, used room of each bin's capacity) for sizes in falling order."""
+def _fit(sizes: list[int], capacities: list[int], large: int, small: int, bound: int) -> tuple[list[int], list[int]]:
+    """(bin of each item, used room of each bin) for sizes in falling order; bins open with ``large`` for items above ``bound``, else ``small``."""
     room: dict[int, list[int]] = {}
     open_rooms = 0  # bit r: a bin with r tokens of room is open
     at, caps, left = [], [], []
@@ -37,7 +37,7 @@ def _fit(sizes: list[int], capacities: list[int], default: int) -> tuple[list[in
                 open_rooms &= ~(1 << r)
         else:
             b = len(caps)
-            caps.append(next(c for c in capacities if c >= max(s, default)) if s <= capacities[-1] and default <= capacities[-1] else capacities[-1])
+            caps.append(next(c for c in capacities if c >= max(s, large if s > bound else small)))
             r = caps[b]
             left.append(r)
         at.append(b)
@@ -53,8 +53,11 @@ def best_fit(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[i
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     falling = [sizes[i] for i in order]
     best = None
-    for default in capacities:
-        at, used = _fit(falling, capacities, default)
+    # A policy opens one size for items above a bound and another for the rest; both sizes and the bound are tried jointly.
+    bounds = sorted({0, *capacities[:-1], *(c // 2 for c in capacities)}) if len(capacities) > 1 else [0]
+    tried = {(c, c, 0) for c in capacities} | {(x, y, b) for x in capacities for y in capacities for b in bounds if b and x != y}
+    for large, small, bound in sorted(tried):
+        at, used = _fit(falling, capacities, large, small, bound)
         final = [next(c for c in capacities if c >= u) for u in used]  # downsizing
         if best is None or (sum(final), len(final)) < best[0]:
             best = ((sum(final), len(final)), at, final)
@@ -118,6 +121,24 @@ def placed(spark, root: str) -> DataFrame:
     return pack(table(spark, root, "documents", ["doc_id", "text"]), _plans(spark, root))
 
 
+def sound(spark, root: str) -> DataFrame:
+    """What must hold of each plan: every document placed once and whole, no container over its capacity, none larger than permitted.
+
+    plan, largest (permitted capacity), documents (placed), twice (pieces placed more than once or
+    missing), overfull (containers), needlessly_cut (documents cut though the largest takes
+    them), too_large (containers above the largest).
+    """
+    plans = _plans(spark, root)
+    df = durable(placed(spark, root))
+    known = spark.createDataFrame([(k, max(v)) for k, v in plans.items()], "plan string, largest long")
+    docs = df.groupBy("plan", "doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("piece").alias("different"), F.sum("n_tokens").alias("tokens")).join(F.broadcast(known), "plan")
+    cut = (F.col("pieces") > 1) & (F.col("tokens") <= F.col("largest"))
+    by_doc = docs.groupBy("plan", "largest").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.col("different")).alias("twice"), F.count_if(cut).alias("needlessly_cut"))
+    bins = df.groupBy("plan", "container_id", "capacity").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(known), "plan")
+    by_bin = bins.groupBy("plan").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), F.count_if(F.col("capacity") > F.col("largest")).alias("too_large"))
+    return by_doc.join(by_bin, "plan").select("plan", "largest", "documents", "twice", "overfull", "needlessly_cut", "too_large")
+
+
 def filling(spark, root: str) -> DataFrame:
     """How full the containers of each plan and size are."""
     df = placed(spark, root)

@@ -3,8 +3,8 @@
 Lines are reduced to their letters and hashed (two independent 64-bit hashes); each document
 contributes every hash once, so a plain count per (site, hash) is a count of documents and is
 combined before the shuffle. Frequent hashes are joined back; the key holds the hash as well as
-the site, so a site with a third of all documents spreads over many keys, and a line that hot is
-split by the adaptive join. Only JVM expressions are used.
+the site, so a site with a third of all documents spreads over many keys; the other side of that
+join is shuffled again on one more key, so that the adaptive join can split a line that hot. Only JVM expressions are used.
 """
 
 from __future__ import annotations
@@ -41,25 +41,35 @@ def repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, min_shar
     rows don't count; lines are numbered from 1 at every line feed. A story with several texts
     counts once per line. Empty input gives an empty table; other columns are ignored.
     """
+    return _marked(rows, min_documents, min_share).select("story_id", "line_no").distinct()
+
+
+def _marked(rows: DataFrame, min_documents: int, min_share: float, *keys: Column) -> DataFrame:
+    """story_id, site, ``keys`` (of the text) and line_no of every repeated line of every distinct text."""
     docs = documents(rows)
-    lines = docs.select("story_id", "site", F.posexplode(F.transform(F.split("text", "\n"), _hashes)).alias("pos", "line")).filter("line.has")
-    lines = lines.select("story_id", "site", (F.col("pos") + 1).alias("line_no"), "line.h1", "line.h2")
+    lines = docs.select("story_id", "site", *keys, F.posexplode(F.transform(F.split("text", "\n"), _hashes)).alias("pos", "line")).filter("line.has")
+    lines = lines.withColumns({"line_no": (F.col("pos") + 1).cast("int"), "h1": F.col("line.h1"), "h2": F.col("line.h2")}).drop("pos", "line")
     once = docs.groupBy("story_id", "site").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(F.split("text", "\n"), _hashes)))).alias("lines"))
     counted = once.select("site", F.inline("lines")).filter("has").groupBy("site", "h1", "h2").agg(F.count("*").alias("n"))
     frequent = counted.filter(F.col("n") >= min_documents)
     if min_share > 0:
         sites = once.groupBy("site").agg(F.count("*").alias("all"))
         frequent = frequent.join(sites, "site").filter(F.col("n") >= min_share * F.col("all"))
-    return lines.join(frequent.select("site", "h1", "h2"), ["site", "h1", "h2"]).select("story_id", F.col("line_no").cast("int")).distinct()
+    return lines.join(frequent.select("site", "h1", "h2"), ["site", "h1", "h2"]).drop("h1", "h2")
 
 
 def cleaned(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(story_id, text) without the repeated lines; texts without any stay as they are."""
-    docs = documents(rows)
-    drop = repeated_lines(rows, min_documents).groupBy("story_id").agg(F.collect_set("line_no").alias("drop"))
+    """(story_id, text) without the repeated lines, one row per site and distinct text of a story.
+
+    Each text loses its own lines, known by its digest, whatever a story's other texts hold; texts
+    without any repeated line stay as they are.
+    """
+    digest = F.unhex(F.md5("text")).alias("text_id")
+    docs = documents(rows).withColumn("text_id", digest)
+    drop = _marked(rows, min_documents, 0.0, digest).groupBy("story_id", "site", "text_id").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("drop"), i + 1))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.join(drop, "story_id", "left").select("story_id", text.alias("text"))
+    return docs.join(drop, ["story_id", "site", "text_id"], "left").select("story_id", text.alias("text"))
 
 
 def found(spark, root: str) -> DataFrame:

@@ -39,6 +39,8 @@ MOST_ROUNDS = 500
 #: Rows of patterns that the driver may hold (24 bytes each).
 FEW = 200_000
 PRIOR = 0.5
+#: Probabilities this near to the highest are as likely: sums of doubles depend on their order.
+TIE = 1e-6
 #: Pseudo-counts (claimed, missed) of true facts and (claimed, denied) of false ones.
 SENSITIVITY_PRIOR = (8.0, 4.0)
 SPECIFICITY_PRIOR = (1.0, 9.0)
@@ -184,7 +186,7 @@ def best_representatives(state: DataFrame, stories: DataFrame, outlets: DataFram
     The survivor has qc_status ok or dup before any other or none; then the most filled fields;
     then the latest day of publication; then the smallest story_id. Each ``fused_<field>`` is the
     sorted array of every value judged true (p > 0.5), or, where none is, of the likeliest ones;
-    it is null where no member states the field. Stories without a row in ``stories`` count as
+    within ``TIE``; it is null where no member states the field. Stories without a row in ``stories`` count as
     empty. Empty tables give an empty result; extra columns are ignored.
     """
     members = durable(described(group_members(state), stories, outlets))
@@ -197,7 +199,7 @@ def best_representatives(state: DataFrame, stories: DataFrame, outlets: DataFram
     chosen = members.groupBy("topic", "component").agg(F.min(order).alias("best"), F.count_distinct("story_id").alias("size"))
     facts, _ = judge(members, rounds)
     top = facts.groupBy("component", "field").agg(F.max("p").alias("top"))
-    held = facts.join(top, ["component", "field"]).filter((F.col("p") > 0.5) | ((F.col("top") <= 0.5) & (F.col("p") == F.col("top"))))
+    held = facts.join(top, ["component", "field"]).filter((F.col("p") > 0.5) | ((F.col("top") <= 0.5) & (F.col("p") >= F.col("top") - TIE)))
     fused = held.groupBy("component").pivot("field", list(FUSED_FIELDS)).agg(F.array_sort(F.collect_set("value")))
     fused = fused.select("component", *[F.col(f).alias(f"fused_{f}") for f in FUSED_FIELDS])
     return chosen.join(fused, "component", "left").select("topic", "component", F.col("best.story_id").alias("story_id"), "size", *[f"fused_{f}" for f in FUSED_FIELDS])
