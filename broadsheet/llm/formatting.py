@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.session import filled, map_batches, table
+from broadsheet.session import durable, filled, map_batches, table
 
 #: Query parameters that say where a reader came from, not which page it is (fixed values).
 TRACKING = re.compile(r"^(utm_\w*|fbclid|gclid|dclid|msclkid|igshid|mc_cid|mc_eid|yclid|_ga)$")
@@ -101,9 +101,11 @@ def collapse(rows: DataFrame, key: str = "story_id") -> tuple[DataFrame, DataFra
     counts = holders.groupBy("raw_id").agg(F.min("k").alias("least"), F.count("*").alias("n"))
     raw = given.select("title", "url").distinct().withColumn("raw_id", _digest("title", "url"))
     canon = map_batches(raw, _canonical, "raw_id binary, page string, said string, parts string, n_parts int").filter(F.col("said") != "")
-    said = canon.groupBy("page", "said").agg(F.max(F.struct("n_parts", "parts")).alias("best"))
-    record_of = said.select(_digest("page", "said").alias("said_id"), _digest("page", "best.parts").alias("record_id"))
-    of_raw = canon.select("raw_id", _digest("page", "said").alias("said_id")).join(record_of, "said_id").select("raw_id", "record_id")
+    # Canonical texts are made once and go on as digests; of two spellings with as many parts that of the larger digest is kept.
+    canon = durable(canon.select("raw_id", _digest("page", "said").alias("said_id"), _digest("page", "parts").alias("parts_id"), "n_parts"))
+    record_of = canon.groupBy("said_id").agg(F.max(F.struct("n_parts", "parts_id")).alias("best")).select("said_id", F.col("best.parts_id").alias("record_id"), F.hash("said_id").alias("hash"))
+    # The hash as a second key has both sides shuffled for the join, so that the adaptive join can split a hot record.
+    of_raw = canon.select("raw_id", "said_id", F.hash("said_id").alias("hash")).join(record_of, ["said_id", "hash"]).select("raw_id", "record_id")
     summed = of_raw.join(counts, "raw_id").groupBy("record_id").agg(F.min("least").alias(first), F.sum("n").alias("copies"), F.count("*").alias("spellings"))
     several = summed.filter("copies > 1").select("record_id", first)
     members = of_raw.join(several, "record_id").join(holders, "raw_id").select(first, F.col("k").alias(key)).distinct()
