@@ -55,7 +55,8 @@ def _marked(rows: DataFrame, min_documents: int, min_share: float, *keys: Column
     if min_share > 0:
         sites = once.groupBy("site").agg(F.count("*").alias("all"))
         frequent = frequent.join(sites, "site").filter(F.col("n") >= min_share * F.col("all"))
-    return lines.join(frequent.select("site", "h1", "h2"), ["site", "h1", "h2"]).drop("h1", "h2")
+    again = F.hash("site", "h1").alias("again")
+    return lines.select("*", again).join(frequent.select("site", "h1", "h2", again), ["site", "h1", "h2", "again"]).drop("h1", "h2", "again")
 
 
 def cleaned(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
