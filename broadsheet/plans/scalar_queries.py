@@ -205,7 +205,10 @@ n AS (SELECT *, CASE WHEN host <> '' AND NOT regexp_matches(host, '[\[\]\s]') AN
    THEN regexp_replace(host, '^www\.', '') || CASE WHEN port <> '' THEN ':' || CAST(TRY_CAST(port AS INTEGER) AS VARCHAR) ELSE '' END || path ||
    CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(list_transform(pairs, lambda z: replace(url_encode(z.k), '%20', '+') || '=' || replace(url_encode(z.v), '%20', '+')), '&') ELSE '' END END AS norm FROM p)
 """
-FOLD = "replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ')"
+# The foldings beyond lower case that occur in Latin and Greek text, stated for the SQL on their own.
+FOLD = "lower({0})"
+for _from, _to in (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ŉ", "ʼn")):
+    FOLD = f"replace({FOLD}, '{_from}', '{_to}')"
 WORDS = "nullif(trim(regexp_replace(" + FOLD + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '')"
 
 
