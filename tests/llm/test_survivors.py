@@ -81,6 +81,24 @@ def test_fusion_prefers_reliable_sources(spark):
     assert quality["one.test"].specificity > quality["three.test"].specificity
 
 
+def test_fused_values_against_planted_truth(spark):
+    """Two true names a group; good outlets state each of them mostly, bad ones mostly make one up."""
+    rng = random.Random(5)
+    state, stories, truth = [], [], {}
+    for k in range(150):
+        truth[k] = {f"True {k}", f"Real {k}"}
+        n = 0
+        for d in ("good1", "good2", "good3", "bad1", "bad2"):
+            said = [v for v in sorted(truth[k]) if rng.random() < (0.9 if d[0] == "g" else 0.25)] + ([f"Made up {d} {k}"] if rng.random() < (0.03 if d[0] == "g" else 0.8) else [])
+            for v in said:
+                state.append(("t", f"{k}_{n}", "ok", f"{k}_0" if n else None))
+                stories.append(story(f"{k}_{n}", None, None, f"{d}.test", v, None, None, None, None))
+                n += 1
+    kept = {int(r.component.split("\u0001")[1].split("_")[0]): set(r.fused_media_name) for r in survivors.best_representatives(*frames(spark, state, stories)).collect()}
+    both = sum(len(kept[k] & truth[k]) for k in kept)
+    assert both >= 0.95 * sum(len(truth[k] & {s[4] for s in stories if s[0].startswith(f"{k}_")}) for k in kept) and both >= 0.97 * sum(map(len, kept.values()))
+
+
 def fit(claims, rounds):
     """Plain expectation-maximisation: claims is {(group, value): outlets}; probabilities and qualities."""
     speak = {}
