@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def coalesced(log: DataFrame, keys: Sequence[str], order: Sequence[str], replace: Sequence[str] = ()) -> DataFrame:
-    """One row per key: for every column its latest non-null value, for ``replace`` columns the latest value.
+def coalesced(log: DataFrame, keys: Sequence[str], order: Sequence[str], replace: Sequence[str] = (), first: Sequence[str] = ()) -> DataFrame:
+    """One row per key: for every column its latest non-null value, for ``replace`` columns the latest value, for ``first`` columns the earliest non-null one.
 
     A grouped maximum over (order, value), combined before the shuffle; no window, no sort.
     """
     rank = F.struct(*[F.col(c) for c in order])
     rest = [c for c in log.columns if c not in keys]
-    latest = [
-        (F.max_by(F.struct(F.col(c).alias("v")), rank) if c in replace else F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), rank)))["v"].alias(c) for c in rest
-    ]
-    return log.groupBy(*keys).agg(*latest)
+
+    def chosen(c: str):
+        value, known = F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), rank)
+        return (F.max_by(value, rank) if c in replace else F.min_by(value, known) if c in first else F.max_by(value, known))["v"].alias(c)
+
+    return log.groupBy(*keys).agg(*[chosen(c) for c in rest])
 
 
 def change_only(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], stamp: str, now) -> DataFrame:

@@ -140,7 +140,7 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
     on fail without a call, and one window's failure doesn't stop the others.
     """
     from broadsheet.operators.pacing import with_retries
-    from broadsheet.streaming.ingest import merge_stories
+    from broadsheet.streaming.ingest import fresh_stories
 
     topic = config.topic(topic_name)
     plan = sorted(planned_windows(store, config, topic_name).collect(), key=lambda r: r.ordinal)[: limit if limit else None]
@@ -155,14 +155,15 @@ def search(store: Warehouse, config: AppConfig, topic_name: str, client: pages.S
         state = spark.createDataFrame([(r.window_id, topic_name, r.query_hash, r.request_fingerprint, topic.query, config.search.platform, r.window_start, r.window_end, r.relevant_count, r.total_count, page, status == "complete", token, status, at if status == "complete" else None, error, json.dumps({"page_size": size}))],
             "window_id string, topic string, query_hash string, request_fingerprint string, query string, platform string, window_start date, window_end date, relevant_count long, total_count long, pages_fetched int, pagination_completed boolean, next_pagination_token string, status string, completed_at timestamp, error string, raw_json string")
         changes = {"search_windows": store.read("search_windows").filter(F.col("window_id") != r.window_id).unionByName(conform(state, "search_windows"))}
+        added = {}
         if rows:
             got, broken = pages.stories_of(spark.createDataFrame(rows, pages.PAGE_SCHEMA), size)
             bad.extend(f"rank {b.result_rank}: {b.error}" for b in broken.select("result_rank", "error").collect())  # of one page
             hits = got.select(F.lit(r.window_id).alias("window_id"), "story_id", "page_number", "result_rank", "raw_json", F.lit(at).alias("found_at"))
-            changes["stories"] = merge_stories(store.read("stories"), got, at)
-            old = store.read("search_hits")
-            changes["search_hits"] = upsert.coalesced(old.withColumn("seq", F.lit(0)).unionByName(hits.withColumn("seq", F.lit(1))), ["window_id", "story_id"], ["seq"]).select(*old.columns)
-        store.commit(changes)
+            # Of a story that stands twice on a page the later row counts; a page is small.
+            last = got.groupBy("story_id").agg(F.max_by(F.struct(*[c for c in got.columns if c != "story_id"]), "result_rank").alias("r")).select("story_id", "r.*")
+            added = {"stories": fresh_stories(last, at), "search_hits": hits.dropDuplicates(["window_id", "story_id"])}
+        store.commit(changes, added)
 
     for r in plan:
         if r.resume == "complete":

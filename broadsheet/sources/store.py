@@ -1,21 +1,35 @@
 """A warehouse of immutable table versions, made visible together by a manifest.
 
-``commit`` writes a new version of each table it is given and then one manifest that names the
-current version of every table. Readers follow the newest manifest, so a commit of several
-tables is seen whole or not at all, a failed write leaves what was there, and no path is read
-and overwritten at once. Versions that no manifest of the last few names can be pruned.
+``commit`` writes a new version of each table it is given, or adds a part to it, and then one
+manifest that names the parts of every table. Readers follow the newest manifest, so a commit of
+several tables is seen whole or not at all, a failed write leaves what was there, and no path is
+read and overwritten at once. A table of several parts is read as one row per key: every column's
+latest non-null value. So adding rows costs what the rows cost; after ``MOST_PARTS`` parts the
+table is written anew. Versions that no manifest of the last few names can be pruned.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet import schemas
 from broadsheet.errors import StorageError
+from broadsheet.operators.upsert import coalesced
+
+
+#: Parts of a table after which it is written as one again.
+MOST_PARTS = 64
+#: Columns of added rows that replace what was there even by null, and those that keep the first value.
+REPLACED, KEPT = {"stories": ["raw_json"]}, {"stories": ["first_seen_at"]}
+
+
+def _parts(entry: str | list[str] | None) -> list[str]:
+    return [] if entry is None else [entry] if isinstance(entry, str) else entry
 
 
 class Warehouse:
@@ -65,13 +79,20 @@ class Warehouse:
 
     def read(self, table: str) -> DataFrame:
         """The table as of the newest commit, with today's columns; empty if it was never written."""
-        path = self.manifest()["tables"].get(table)
-        if path is None:
-            return self.spark.createDataFrame([], schemas.schema(table))
-        return self.spark.read.schema(schemas.schema(table)).parquet(f"{self.root}/{path}")
+        return self._of(table, _parts(self.manifest()["tables"].get(table)))
 
-    def commit(self, changes: dict[str, DataFrame]) -> dict:
-        """Replace the given tables together; returns the new manifest."""
+    def _of(self, table: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schemas.schema(table))
+        read = lambda p: self.spark.read.schema(schemas.schema(table)).parquet(f"{self.root}/{p}")
+        if len(parts) == 1:
+            return read(parts[0])
+        log = reduce(DataFrame.unionByName, [read(p).withColumn("__part", F.lit(i)) for i, p in enumerate(parts)])
+        names = schemas.schema(table).names
+        return coalesced(log, schemas.KEYS[table], ["__part"], REPLACED.get(table, ()), KEPT.get(table, ())).select(*names)
+
+    def commit(self, changes: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> dict:
+        """Replace the tables of ``changes`` and add the rows of ``added``, all together; returns the new manifest."""
         names = self._manifests()
         before = self.manifest()["tables"]
         number = int(names[-1][:12]) + 1 if names else 1
@@ -80,6 +101,14 @@ class Warehouse:
             path = f"{table}/{number:012d}-{uuid.uuid4().hex[:8]}"
             schemas.conform(df, table).write.parquet(f"{self.root}/{path}")
             after[table] = path
+        for table, df in (added or {}).items():
+            path = f"{table}/{number:012d}-{uuid.uuid4().hex[:8]}"
+            schemas.conform(df, table).write.parquet(f"{self.root}/{path}")
+            after[table] = [*_parts(after.get(table)), path]
+            if len(after[table]) > MOST_PARTS:
+                whole = f"{table}/{number:012d}-{uuid.uuid4().hex[:8]}"
+                self._of(table, after[table]).write.parquet(f"{self.root}/{whole}")
+                after[table] = whole
         made = {"schema_version": schemas.SCHEMA_VERSION, "tables": after}
         target = self._path(f"{self.root}/_manifests/{number:012d}.json")
         try:
@@ -102,7 +131,7 @@ class Warehouse:
     def prune(self, keep: int = 5) -> int:
         """Delete versions that none of the last ``keep`` manifests names; returns how many."""
         names = self._manifests()
-        used = {p for n in names[-keep:] for p in self._read(n)["tables"].values()}
+        used = {p for n in names[-keep:] for entry in self._read(n)["tables"].values() for p in _parts(entry)}
         gone = 0
         for table in schemas.tables():
             folder = self._path(f"{self.root}/{table}")

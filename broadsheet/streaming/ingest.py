@@ -1,4 +1,4 @@
-"""Search pages as a stream: normalised, deduplicated within a watermark, merged into the warehouse."""
+"""Search pages as a stream: normalised, deduplicated within a watermark, added to the warehouse."""
 
 from __future__ import annotations
 
@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from broadsheet.operators.upsert import coalesced
 from broadsheet.sources.pages import register, stories_of
 from broadsheet.sources.store import Warehouse
 
 STORY_COLUMNS = ("title", "url", "domain", "publish_date", "media_name", "media_url", "language", "indexed_at", "mc_text", "raw_json")
 
 
-def merge_stories(old: DataFrame, new: DataFrame, now) -> DataFrame:
-    """Stories with each column's newest non-null value; raw_json always the newest; first_seen_at kept."""
-    before = old.select("story_id", *STORY_COLUMNS, "url_norm", "title_norm", "first_seen_at", "last_seen_at", F.lit(0).alias("seq"))
-    nothing = {c: F.lit(None).cast(old.schema[c].dataType) for c in ("url_norm", "title_norm")}
-    fresh = new.select("story_id", *STORY_COLUMNS).withColumns(nothing | {"first_seen_at": F.lit(now).cast("timestamp"), "last_seen_at": F.lit(now).cast("timestamp"), "seq": F.lit(1)})
-    both = before.unionByName(fresh)
-    merged = coalesced(both, ["story_id"], ["seq"], replace=["raw_json"])
-    first = both.groupBy("story_id").agg(F.min("first_seen_at").alias("first"))
-    return merged.join(first, "story_id").withColumn("first_seen_at", F.col("first")).drop("first", "seq")
+def fresh_stories(new: DataFrame, now) -> DataFrame:
+    """Rows to add to the stored stories: the store keeps each column's newest non-null value, the newest raw_json and the first first_seen_at."""
+    at = F.lit(now).cast("timestamp")
+    return new.select("story_id", *STORY_COLUMNS, at.alias("first_seen_at"), at.alias("last_seen_at")).dropDuplicates(["story_id"])
 
 
 def start(spark: SparkSession, warehouse: Warehouse, options: dict, page_size: int, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
@@ -36,9 +30,7 @@ def start(spark: SparkSession, warehouse: Warehouse, options: dict, page_size: i
         batch = batch.withColumn("window_id", F.concat_ws("_", "window_start", "window_end"))
         now = batch.sparkSession.sql("SELECT current_timestamp()").first()[0]
         hits = batch.select("window_id", "story_id", "page_number", "result_rank", "raw_json", F.lit(now).alias("found_at"))
-        old = warehouse.read("search_hits")
-        all_hits = old.unionByName(hits.select(*old.columns)).dropDuplicates(["window_id", "story_id"])
-        warehouse.commit({"stories": merge_stories(warehouse.read("stories"), batch, now), "search_hits": all_hits})
+        warehouse.commit({}, {"stories": fresh_stories(batch, now), "search_hits": hits.dropDuplicates(["window_id", "story_id"])})
 
     return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
 

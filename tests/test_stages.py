@@ -272,3 +272,20 @@ def test_failed_answers(spark, tmp_path):
 def test_orphans(spark):
     child = spark.createDataFrame([("1",), ("2",), (None,)], "story_id string")
     assert [r.story_id for r in schemas.orphans(child, "story_id", spark.createDataFrame([("1",)], "story_id string")).collect()] == ["2"]
+
+
+def test_added_rows_are_merged_when_read(spark, tmp_path, monkeypatch):
+    from broadsheet.sources import store as stores
+
+    w = Warehouse(spark, str(tmp_path / "w"))
+    row = lambda i, title, raw, at: spark.createDataFrame([(i, title, raw, dt.datetime(2021, 1, at))], "story_id string, title string, raw_json string, first_seen_at timestamp")
+    w.commit({"stories": row("a", "one", "r1", 1)})
+    w.commit({}, {"stories": row("a", None, None, 2)})
+    w.commit({}, {"stories": row("b", "two", "r2", 3)})
+    got = {r.story_id: (r.title, r.raw_json, r.first_seen_at.day) for r in w.read("stories").collect()}
+    assert got == {"a": ("one", None, 1), "b": ("two", "r2", 3)} and len(w.manifest()["tables"]["stories"]) == 3
+    monkeypatch.setattr(stores, "MOST_PARTS", 3)
+    w.commit({}, {"stories": row("b", "three", "r3", 4)})
+    assert isinstance(w.manifest()["tables"]["stories"], str)
+    assert {r.story_id: (r.title, r.first_seen_at.day) for r in w.read("stories").collect()} == {"a": ("one", 1), "b": ("three", 3)}
+    assert w.prune(1) >= 4 and w.read("stories").count() == 2
