@@ -16,6 +16,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--env-file")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("init-db")
+    probe = commands.add_parser("probe", help="what a search client answers for a topic's first windows; stores nothing")
+    probe.add_argument("--topic", required=True)
+    probe.add_argument("--client", default="broadsheet.sources.pages:FolderClient")
+    probe.add_argument("--argument", default="")
+    probe.add_argument("--windows", type=int, default=1)
     for name in ("estimate", "search", "dedup", "fetch", "extract", "extract-prompt", "export", "review-search", "review-dedup", "review-fetch", "reset-analysis"):
         c = commands.add_parser(name)
         c.add_argument("--topic", required=True)
@@ -53,6 +58,8 @@ def run(args: argparse.Namespace, spark) -> str:
         return f"tables: {', '.join(sorted(store.initialise()['tables']))}"
     config = load(args.config)
     topic = args.topic
+    if args.command == "probe":
+        return "\n".join(stages.probe(store, config, topic, pages.client_from({"client": args.client, "argument": args.argument}), args.windows))
     if args.command == "estimate":
         return str(stages.estimate(store, config, topic, {"client": args.client, "argument": args.argument}))
     if args.command == "search":

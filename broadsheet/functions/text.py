@@ -83,6 +83,25 @@ def token_estimate(value: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.octet_length(value) + BYTES_PER_TOKEN - 1) / BYTES_PER_TOKEN).cast("int"))
 
 
+def token_count(value: Column, vocabulary: str | None = None, pattern: str | None = None) -> Column:
+    """Tokens of the model's own vocabulary (a file of byte-pair ranks and its splitting pattern) where it is known, else the estimate."""
+    if vocabulary is None or pattern is None:
+        return token_estimate(value)
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        import base64
+
+        import tiktoken
+
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encode = tiktoken.Encoding("model", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return texts.map(lambda t: None if t is None else max(1, len(encode(t)))).astype("Int32")
+
+    return count(value)
+
+
 def prompt_estimate(system: Column, user: Column) -> Column:
     return token_estimate(system) + token_estimate(user) + PROMPT_OVERHEAD
 

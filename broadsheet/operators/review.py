@@ -105,6 +105,12 @@ def relevant_candidates(screened: DataFrame, extracted: DataFrame) -> DataFrame:
     return yes.join(e, ["topic", "story_id"], "left").filter(F.col("was").isNull() | F.col("was").isin("invalid", "unparsed")).select("topic", "story_id").distinct()
 
 
+def of_requests(extractions: DataFrame, batches: DataFrame, path: str, value: str) -> DataFrame:
+    """Extractions whose batch's request holds ``value`` at the JSON path (as the phase of a screening does)."""
+    asked = batches.filter(F.get_json_object("request_json", path) == value).select("batch_id")
+    return extractions.join(asked, "batch_id")
+
+
 def case_rows(cases: DataFrame, extractions: DataFrame, stories: DataFrame, fields: list[str], link_category: Column) -> DataFrame:
     """Cases with their story; a configured field is the stored JSON's value, else the column's, if there is one."""
     held = [F.coalesce(F.get_json_object("raw_json", f"$.{f}"), F.col(f)).alias(f) if f in cases.columns else F.get_json_object("raw_json", f"$.{f}").alias(f) for f in fields]

@@ -47,7 +47,7 @@ ZONE_MINUTES = {
 _NAME = r"([a-zéûôà]{3,9})\.?"
 _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?:\s*([ap])\.?\s?m\.?)?"
-_ZONE = r"(?:\s*\(?(z|[a-z]{3}|[+-]\d{2}:?\d{2})\)?)?"
+_ZONE = r"(?:\s*\(?(z|[a-z]{3}|[+-]\d{2}(?::?\d{2})?)\)?)?"
 
 #: (pattern, order of the groups before the clock); y, m, d are figures, n a month name, a and b
 #: figures whose order the source decides. Clock groups are hour, minute, second, half, zone.
@@ -124,7 +124,7 @@ def parse(df: DataFrame, value: str, zone: str, day_first: str, out: str) -> Dat
         _map(ZONE_MINUTES)[p["zone"]],
         F.when(
             p["zone"].rlike(r"^[+-]"),
-            F.when(p["zone"].startswith("-"), -1).otherwise(1) * (F.substring(p["zone"], 2, 2).cast("int") * 60 + F.expr(f"right({t}p.zone, 2)").cast("int")),
+            F.when(p["zone"].startswith("-"), -1).otherwise(1) * (F.substring(p["zone"], 2, 2).cast("int") * 60 + F.when(F.length(p["zone"]) > 3, F.expr(f"right({t}p.zone, 2)").cast("int")).otherwise(0)),
         ),
     )
     epoch = F.col(t + "v").rlike(r"^(?:\d{10}|\d{13}|\d{16})$")

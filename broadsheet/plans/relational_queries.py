@@ -143,6 +143,13 @@ def extraction_candidates(spark, root):
     return review.relevant_candidates(screened, e)
 
 
+def json_requests(spark, root):
+    """Hits of the windows whose request, as JSON, says completed; windows stand for batches, hits for answers."""
+    asked = windows(spark, root).select(F.col("id").alias("batch_id"), F.to_json(F.struct("topic", "status")).alias("request_json"))
+    df = review.of_requests(hits(spark, root).withColumnRenamed("search_window_id", "batch_id"), asked, "$.status", "completed")
+    return df.groupBy("batch_id").agg(F.count("*").alias("answers"))
+
+
 def latest_outcome(spark, root):
     return upsert.latest(extractions(spark, root), ["story_id"], ["extracted_at", "topic", "prompt_version"])
 
@@ -324,6 +331,7 @@ QUERIES = {
         f"""WITH {_S}, {_E}, scr AS (SELECT DISTINCT topic, story_id FROM state_d WHERE qc_status = 'ok')
         SELECT DISTINCT s.topic, s.story_id FROM scr s LEFT JOIN ext e ON e.topic = s.topic AND e.story_id = s.story_id WHERE e.validation_status IS NULL OR e.validation_status IN ('invalid', 'unparsed')""",
     ),
+    "json_requests": (json_requests, f"WITH {_S} SELECT w.id AS batch_id, count(*) AS answers FROM hits_d h JOIN search_windows w ON w.id = h.search_window_id WHERE json_extract_string(to_json({{'status': w.status}}), '$.status') = 'completed' GROUP BY w.id"),
     "latest_outcome": (latest_outcome, f"WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY extracted_at DESC NULLS LAST, topic DESC, prompt_version DESC) AS n FROM ext) SELECT * EXCLUDE (n) FROM o WHERE n = 1"),
     "case_export": (
         case_export,

@@ -113,6 +113,18 @@ def planned_windows(store: Warehouse, config: AppConfig, topic_name: str) -> Dat
     return windows.resume_state(made.join(old, "window_id", "left"), config.search.page_size, stored)
 
 
+def probe(store: Warehouse, config: AppConfig, topic_name: str, client: pages.SearchClient, most: int = 1, size: int = 10) -> list[str]:
+    """One JSON line per window: its counts and what the first page of at most ten stories holds. Nothing is stored."""
+    topic = config.topic(topic_name)
+    lines = []
+    for r in sorted(planned_windows(store, config, topic_name).collect(), key=lambda r: r.ordinal)[:most]:
+        relevant, total = client.story_count(topic.query, r.window_start, r.window_end)
+        stories, token = client.story_list(topic.query, r.window_start, r.window_end, None, min(size, 10))
+        texts = sum(isinstance(s.get("text"), str) and bool(s["text"]) for s in stories)
+        lines.append(canonical_json({"window": f"{r.window_start}..{r.window_end}", "relevant": relevant, "total": total, "page": len(stories), "with_text": texts, "more": token is not None}))
+    return lines
+
+
 def estimate(store: Warehouse, config: AppConfig, topic_name: str, options: dict) -> Summary:
     """Count each window not counted or completed yet."""
     topic = config.topic(topic_name)

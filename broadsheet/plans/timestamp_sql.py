@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from broadsheet.operators.timestamps import _CLOCKED, _COMPACT, _FRENCH_CLOCK, MONTHS, NOTATIONS, ZONE_MINUTES
+# The notations, months and zones are stated here anew and not imported, so that the comparison can find them wrong (fixed values).
+_MONTH_NAMES = (
+    "jan january janvier janv", "feb february février fevrier févr", "mar march mars", "apr april avril avr", "may mai", "jun june juin", "jul july juillet juil", "aug august août aout",
+    "sep sept september septembre", "oct october octobre", "nov november novembre", "dec december décembre decembre déc",
+)
+MONTHS = {name: number for number, names in enumerate(_MONTH_NAMES, 1) for name in names.split()}
+#: Hours west of Greenwich in winter by the letter of the zone; summer time (d, a) is an hour less.
+_WEST = {"n": 3.5, "a": 4, "e": 5, "c": 6, "m": 7, "p": 8}
+ZONE_MINUTES = {"z": 0, "utc": 0, "gmt": 0}
+for _letter, _hours in _WEST.items():
+    ZONE_MINUTES |= {f"{_letter}st": int(-60 * _hours), f"{_letter}dt": int(-60 * (_hours - 1))}
+for _letter, _hours in {"t": 3.5, "a": 4, "e": 5, "c": 6, "r": 7, "p": 8}.items():  # French: heure normale, heure avancée
+    ZONE_MINUTES |= {f"hn{_letter}": int(-60 * _hours), f"ha{_letter}": int(-60 * (_hours - 1))}
+_Z = r"(?:\s*\(?(z|[a-z]{3}|[+-]\d\d(?::?\d\d)?)\)?)?"
+_T = r"(?:(?:t|,?\s+)(?:at\s+)?(\d\d?):(\d\d)(?::(\d\d)(?:[.,]\d+)?)?(?:\s*([ap])\.?\s?m\.?)?" + _Z + ")?"
+_D = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
+_WRITTEN = (
+    (r"(\d{4})-(\d\d)-(\d\d)" + _T, "ymd"), (r"(\d{4})/(\d\d)/(\d\d)" + _T, "ymd"), (r"(\d\d?)[/.-](\d\d?)[/.-](\d{4})" + _T, "aby"),
+    (_D + r"(\d\d?)(?:er)?\s+([a-zéûôà]{3,9})\.?,?\s+(\d{4})" + _T, "dny"), (_D + r"([a-zéûôà]{3,9})\.?\s+(\d\d?),?\s+(\d{4})" + _T, "ndy"),
+    (_D + r"(\d\d?)(?:er)?\s+([a-zéûôà]{3,9})\.?,?\s+(\d{4})\s+à\s+(\d\d?)\s*h\s*(\d\d)()()" + _Z, "dny"), (r"(\d{4})(\d\d)(\d\d)(?:t(\d\d)(\d\d)(\d\d)?()" + _Z + ")?", "ymd"),
+)
 
 _EDGE = r"[\s\x{00a0}\x{00ad}\x{034f}\x{061c}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 
@@ -17,9 +37,8 @@ def _case(expression: str, values: dict[str, int]) -> str:
 
 def _read() -> str:
     """First fitting notation as a struct of strings."""
-    notations = [(p + _CLOCKED, layout) for p, layout in NOTATIONS] + [(NOTATIONS[3][0] + _FRENCH_CLOCK, "dny"), (_COMPACT, "ymd")]
     branches = []
-    for pattern, layout in notations:
+    for pattern, layout in _WRITTEN:
         whole = "^" + pattern.replace("'", "''") + "$"
         group = lambda i, w=whole: f"regexp_extract(x, '{w}', {i})"
         at = {c: group(i + 1) for i, c in enumerate(layout)}
@@ -47,7 +66,7 @@ r AS (SELECT *, {_read()} AS p FROM x),
 f AS (SELECT *, TRY_CAST(printf('%04d-%02d-%02d', p.y, p.m, p.d) AS DATE) AS day, p.hh <> '' AS clock,
   CASE WHEN p.half = '' THEN TRY_CAST(p.hh AS INTEGER) WHEN TRY_CAST(p.hh AS INTEGER) BETWEEN 1 AND 12 THEN TRY_CAST(p.hh AS INTEGER) % 12 + CASE WHEN p.half = 'p' THEN 12 ELSE 0 END END AS hour,
   TRY_CAST(p.mi AS INTEGER) AS minute, CASE WHEN p.ss = '' THEN 0 ELSE TRY_CAST(p.ss AS INTEGER) END AS second,
-  CASE WHEN p.zone <> '' THEN coalesce({_case('p.zone', ZONE_MINUTES)}, CASE WHEN p.zone[1] IN ('+', '-') THEN CASE WHEN p.zone[1] = '-' THEN -1 ELSE 1 END * (CAST(p.zone[2:3] AS INTEGER) * 60 + CAST(right(p.zone, 2) AS INTEGER)) END, 9999) END AS off,
+  CASE WHEN p.zone <> '' THEN coalesce({_case('p.zone', ZONE_MINUTES)}, CASE WHEN p.zone[1] IN ('+', '-') THEN CASE WHEN p.zone[1] = '-' THEN -1 ELSE 1 END * (CAST(p.zone[2:3] AS INTEGER) * 60 + CASE WHEN length(p.zone) > 3 THEN CAST(right(p.zone, 2) AS INTEGER) ELSE 0 END) END, 9999) END AS off,
   CASE WHEN regexp_matches(x, '^(?:\d{{10}}|\d{{13}}|\d{{16}})$') THEN TRY_CAST(left(x, 10) AS BIGINT) END AS unix FROM r),
 l AS (SELECT *, CASE WHEN clock AND day IS NOT NULL AND hour BETWEEN 0 AND 23 AND minute BETWEEN 0 AND 59 AND second BETWEEN 0 AND 59 THEN CAST(day AS TIMESTAMP) + to_hours(hour) + to_minutes(minute) + to_seconds(second) END AS wall FROM f),
 z AS (SELECT *, CASE WHEN off IS NULL THEN (wall AT TIME ZONE tz) AT TIME ZONE 'UTC' END AS guess FROM l),

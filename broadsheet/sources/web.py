@@ -7,24 +7,26 @@ through a transport, a callable that the caller can replace (tests, proxies, rec
 
 from __future__ import annotations
 
+import gzip
 import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.config import FetchConfig
 from broadsheet.functions.urls import host_of
 from broadsheet.operators.acquire import BLOCKED, MEDIA_TYPES
 from broadsheet.operators.pacing import DomainDelay, TokenBucket
-from broadsheet.session import map_batches
+from broadsheet.session import map_batches, ship
 
 CHUNK = 64 * 1024
 
@@ -165,6 +167,24 @@ class Reader:
         return [*rows, row | {"status": status}]
 
 
+def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """story_id, html of pages kept as ``<folder>/**/<story_id>.html.gz``; a file that can't be unpacked has null html."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def unpacked(contents: pd.Series) -> pd.Series:
+        def one(content):
+            try:
+                return gzip.decompress(content).decode("utf-8", "replace")
+            except (OSError, EOFError, zlib.error):
+                return None
+
+        return contents.map(one)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html.gz").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.html\.gz$", 1).alias("story_id"), unpacked("content").alias("html"))
+
+
 def fetch_pages(stories: DataFrame, config: FetchConfig, transport: Callable[[], Transport] = over_http, lanes: int = 1, pause=time.sleep) -> DataFrame:
     """Rows of :data:`SCHEMA` for stories (story_id, url), in as many lanes as may ask at once.
 

@@ -137,3 +137,13 @@ def test_numbered_depends_on_the_order_alone(spark, parts):
     got = sorted((r.ordinal, r.k) for r in numbered(df, "k").collect())
     assert [o for o, _ in got] == list(range(500)) and [k for _, k in got] == sorted(k for _, k in got)
     assert numbered(df.filter("k < 0"), "k").count() == 0
+
+
+def test_token_count(spark, tmp_path):
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab"]
+    (tmp_path / "v.tiktoken").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    df = spark.createDataFrame([("abab",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.token_count(F.col("t"), str(tmp_path / "v.tiktoken"), r"\w+|\W+")).collect()] == [2, 1, None]
+    assert [r[0] for r in df.select(text.token_count(F.col("t"))).collect()][:2] == [2, 1]

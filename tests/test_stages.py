@@ -229,6 +229,9 @@ def test_whole_chain(spark, tmp_path, capsys):
     assert run("init-db") == 0 and run("dedup", "--topic", "nope") == ConfigurationError.exit_code
     assert run("search", "--topic", "t", "--argument", str(tmp_path / "pages")) == 0
     store, loaded = Warehouse(spark, str(tmp_path / "w")), config.load(tmp_path / "c.json")
+    assert store.read("pipeline_runs").filter("stage = 'search' AND status = 'complete'").count() == 1
+    before = len(store._manifests())
+    assert run("probe", "--topic", "t", "--argument", str(tmp_path / "pages"), "--windows", "2") == 0 and len(store._manifests()) == before
     assert store.read("stories").filter("story_id = 's1'").first().title is not None  # kept over a later null
     assert run("search", "--topic", "t", "--argument", str(tmp_path / "nowhere")) == 0  # complete: nothing is asked again
     assert run("dedup", "--topic", "t") == 0
@@ -237,6 +240,7 @@ def test_whole_chain(spark, tmp_path, capsys):
     assert {r.story_id: r.decided_at for r in store.read("story_topic_state").collect()} == before and len(before) == 3
     assert run("fetch", "--topic", "t", "--dry-run") == 0 and run("fetch", "--topic", "t") == 0
     assert store.read("articles").filter("fetch_status = 'ok'").count() == 2
+    assert run("extract", "--topic", "t", "--dry-run") == 0 and store.read("extraction_batches").count() == 0
     first, second = stages.extract_cases(store, loaded, "t", _answer)
     assert (first.processed, first.succeeded, second.processed) == (2, 2, 1)
     assert [r.case_id for r in store.read("cases").collect()] == ["t:s1:extract-1:00"]

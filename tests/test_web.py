@@ -141,3 +141,32 @@ def test_answers_survive_a_stopped_run(spark, tmp_path):
         stages.answered(store, wanted, "t/screening", client, 2, None)
     got = {r.batch_id: r.content for r in stages.answered(store, wanted, "t/screening", client, 2, None).collect()}
     assert asked == ["prompt 0", "prompt 1", "prompt 2", "prompt 2", "prompt 3"] and set(got) == {f"b{i}" for i in range(4)}
+
+
+def test_stored_pages(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "ab").mkdir()
+    (tmp_path / "ab" / "s1.html.gz").write_bytes(gzip.compress(TEXT.encode()))
+    (tmp_path / "ab" / "s2.html.gz").write_bytes(b"no archive")
+    (tmp_path / "other.txt").write_text("x")
+    assert {r.story_id: r.html for r in web.stored_pages(spark, str(tmp_path)).collect()} == {"s1": TEXT, "s2": None}
+
+
+def first(page):
+    return "x" * 200 if "long" in page else None
+
+
+def broken(page):
+    raise RuntimeError(page)
+
+
+def test_outside_parsers_come_first(spark):
+    from pyspark.sql import functions as F
+
+    from broadsheet.functions import html
+
+    pages = spark.createDataFrame([("a", "<p>long</p>"), ("b", TEXT), ("c", None)], "k string, html string")
+    got = {r.k: r.x and r.x.extractor for r in pages.select("k", html.extract(F.col("html"), 100, {"broken": broken, "first": first}).alias("x")).collect()}
+    assert got == {"a": "first", "b": "main_block", "c": None}
+    assert set(html.installed()) <= set(html.PARSERS)
